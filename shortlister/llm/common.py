@@ -79,7 +79,8 @@ _ODD_INV = pow(_ODD, -1, 1 << 64)
 _BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64)
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
-#: Random value of a byte after A-Z are lower-cased.
+#: Random value of a byte, and of a byte after A-Z are lower-cased.
+BYTES = _BYTE
 BYTE_LOWER = _BYTE[_LOWER]
 #: The separators of words: space and the control characters 09 to 0D.
 IS_SPACE = np.zeros(256, bool)

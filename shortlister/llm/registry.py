@@ -5,7 +5,17 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Query name, module of this package and function in it.
-_OPERATORS = (("op1_ngram_jaccard_join", "jaccard", "op1"),)
+_OPERATORS = (
+    ("op1_ngram_jaccard_join", "jaccard", "op1"),
+    ("op3_toxicity_weak_supervision", "toxicity", "op3"),
+    ("op4_winnowing_fingerprints", "winnow", "op4"),
+    ("op5_feistel_shards", "feistel", "op5"),
+    ("op6_warc_splittable", "warc", "op6"),
+    ("op7_vector_packing", "pack", "op7"),
+    ("op8_curriculum_mix", "mix", "op8"),
+    ("op9_impact_ordered_top_k", "topk", "op9"),
+    ("op10_preference_chat", "chat", "op10"),
+)
 
 
 def queries() -> dict:
@@ -13,4 +23,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    found = ((name, getattr(import_module(f"{__package__}.{module}"), "ORACLE", None)) for name, module, _ in _OPERATORS)
+    return {name: sql for name, sql in found if sql}

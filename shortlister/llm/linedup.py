@@ -1,8 +1,9 @@
 """Line dedup by pairwise alignment.
 
-Lines are compared without surrounding white space and without case. A line is an anchor if it has at least
-ANCHOR_WORDS words; the first document (smallest id) that has it owns it, and each later document that has it, too, is
-aligned with the owner. So a line shared by many documents gives one pair for each of them, not all pairs; and every
+Prose has few newlines, so that a line here ends at a newline or after a full stop, question or exclamation mark that a
+space follows. Lines are compared without surrounding white space and without case. A line, or all that stands between
+two newlines, is an anchor if it has at least ANCHOR_WORDS words; the first document (smallest id) that has it owns it,
+and each later document that has it, too, is aligned with the owner. So a line shared by many documents gives one pair for each of them, not all pairs; and every
 later occurrence has a pair. Rare anchors (in at most RARE_DOCS documents) make pairs whatever their length, frequent
 ones only if they have PASSAGE_WORDS words or more: short frequent lines are boilerplate, not evidence of overlap.
 
@@ -12,7 +13,7 @@ neighbouring lines are common blocks. A block with at least BLOCK_WORDS words is
 earlier document keeps it.
 
 Defined cases: a null text stays null, an empty one empty; rows without id are kept as they are; rows that repeat an id
-are treated alike. A document whose every line is deleted has an empty text. Lines are separated by newlines.
+are treated alike. A document whose every line is deleted has an empty text. What is kept stays as it is, separators included.
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ _WORD = r"[^\x20\x09-\x0D]+"
 
 
 def lines(text: Column) -> Column:
-    return F.split(text, "\n", -1)
+    """The lines with what separates them: joined, they are the text."""
+    return F.split(text, r"(?<=\n)|(?<=[.!?]\x20)", -1)
 
 
 def line_hash(line: Column) -> Column:
@@ -132,11 +134,13 @@ def deletions(documents: DataFrame, anchor_words: int = ANCHOR_WORDS, passage_wo
     """(doc_id, text) to doc_id, places: the line numbers from 0 that go; only documents that lose any."""
     spark = documents.sparkSession
     arrow_limits(spark, 128)
-    split = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), lines(F.col("text")).alias("l"))
-    hashed = split.select("doc_id", F.transform("l", line_hash).alias("h"), F.transform("l", _words).alias("w"))
-    hashed = stash(hashed.where(F.exists("w", lambda n: n >= anchor_words)))
-    anchors = hashed.select("doc_id", F.explode(F.arrays_zip("h", "w")).alias("x")).where(F.col("x.w") >= anchor_words).select("doc_id", F.col("x.h").alias("h"), F.col("x.w").alias("w")).distinct()
-    anchors = stash(anchors)
+    split = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), lines(F.col("text")).alias("l"), F.split("text", "\n", -1).alias("p"))
+    # Of paragraphs only those that are anchors whatever their frequency.
+    wide = F.filter(F.transform("p", lambda p: F.struct(line_hash(p).alias("h"), _words(p).alias("w"))), lambda x: x["w"] >= passage_words)
+    hashed = split.select("doc_id", F.transform("l", line_hash).alias("h"), F.transform("l", _words).alias("w"), wide.alias("p"))
+    hashed = stash(hashed.where(F.exists("w", lambda n: n >= anchor_words) | (F.size("p") > 0)))
+    anchors = hashed.select("doc_id", F.explode(F.concat(F.arrays_zip("h", "w"), "p")).alias("x")).where(F.col("x.w") >= anchor_words).select("doc_id", F.col("x.h").alias("h"), F.col("x.w").alias("w"))
+    anchors = stash(anchors.distinct())
     owners = anchors.groupBy("h").agg(F.min("doc_id").alias("owner"), F.count("*").alias("docs"), F.min("w").alias("w")).where("docs > 1").where((F.col("docs") <= rare_docs) | (F.col("w") >= passage_words))
     owned = stash(owners.select("h", "owner"))
     pairs = anchors.join(owned, "h").where("doc_id <> owner").select("doc_id", "owner").distinct()
@@ -151,7 +155,9 @@ def without_repeats(documents: DataFrame, **how) -> DataFrame:
     cut = deletions(documents, **how).select(F.col("doc_id").alias("_cut_id"), F.col("places").alias("_places"))
     joined = documents.join(stash(cut), F.col("doc_id").cast("long") == F.col("_cut_id"), "left")
     left = F.filter(lines(F.col("text")), lambda _, i: ~F.array_contains("_places", i))
-    text = F.when(F.col("_places").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    text = F.when(F.col("_places").isNull(), F.col("text")).otherwise(F.array_join(left, ""))
+    if "n_chars" in documents.columns:
+        joined = joined.withColumn("n_chars", F.when(F.col("_places").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long")))
     return joined.withColumn("text", text).withColumn("removed_lines", F.coalesce(F.size("_places"), F.lit(0)).cast("int")).select(*documents.columns, "removed_lines")
 
 

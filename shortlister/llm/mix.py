@@ -111,7 +111,10 @@ def curriculum(documents: DataFrame, **how) -> DataFrame:
     joined = texts.join(plan.withColumnRenamed("_key", "_k"), F.col("_key") == F.col("_k")).where(F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
     each = joined.select(*names, "_size", "_taken", F.posexplode("_positions").alias("_copy", "_position"))
     words = F.col("_taken") - F.col("_copy") * F.col("_size")
-    return each.withColumn("text", F.when(words < F.col("_size"), first_words(F.col("text"), words)).otherwise(F.col("text"))).repartitionByRange(max(1, shuffle_width(documents.sparkSession)), "_position").sortWithinPartitions("_position").select(*names)
+    each = each.withColumn("_cut", words < F.col("_size")).withColumn("text", F.when(F.col("_cut"), first_words(F.col("text"), words)).otherwise(F.col("text")))
+    if "n_chars" in names:
+        each = each.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return each.repartitionByRange(max(1, shuffle_width(documents.sparkSession)), "_position").sortWithinPartitions("_position").select(*names)
 
 
 def _row_key() -> Column:

@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query name, module of this package and function in it.
 _OPERATORS = (
     ("op1_ngram_jaccard_join", "jaccard", "op1"),
+    ("op2_patience_line_dedup", "linedup", "op2"),
     ("op3_toxicity_weak_supervision", "toxicity", "op3"),
     ("op4_winnowing_fingerprints", "winnow", "op4"),
     ("op5_feistel_shards", "feistel", "op5"),

@@ -7,8 +7,11 @@ fixed-size sketch over the whole corpus gives (never below the true document fre
 hash of its own. Candidates come from the postings of the prefixes under the first order, and must share prefix tokens
 under each further order before their overlap is counted exactly.
 
-No posting list is expanded into all of its pairs. A list of up to SMALL_LIST documents gives its few pairs. A longer
-one gives a star around its most typical document (highest mean token count; ties to the smallest id). After the stars
+A pair is a candidate of a token only if this can be their first common one: with i and j tokens before it in the
+first order, the sizes less i and j must both reach the overlap that the threshold asks of these sizes.
+
+No long posting list is expanded into all of its pairs. A list with few candidate pairs for its length gives these. Another
+gives stars around its most typical documents (highest mean token count; three ways to break ties). After the stars
 are verified and their components known, only pairs of such a list that still lie in different components are tried,
 and all of those are, so no component is missed.
 
@@ -19,6 +22,7 @@ are expected to repeat its text. A row without id keeps its size and has no comp
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +33,11 @@ from pyspark.sql import functions as F
 from .common import arrow_limits, column_shingles, mix64, shuffle_width, stash
 from .graph import connected_components
 
-#: Buckets of the count sketch as a power of two: 4 MB of counts, whatever the corpus.
-SKETCH_BITS = 20
-_PIECES = 16
-#: Lists up to this length give all their pairs at once.
-SMALL_LIST = 4
+#: Buckets of the count sketch as a power of two: 8 MB of magnitudes, whatever the corpus.
+SKETCH_BITS = 23
+_PIECES = 64
+#: Lists with up to so many candidate pairs for each of their documents give them at once.
+PAIRS_EACH = 4
 #: Tokens with sketch counts from 2 ** HEAVY_CLASS on are dealt by document, not gathered by token.
 HEAVY_CLASS = 10
 #: Hashes of the further orders; the first one makes the postings.
@@ -44,7 +48,9 @@ _FILTER_BITS = 1 << 23
 
 _SIGNATURES = "doc_id long, n_shingles long, k1 long, k2 long, piece int, counts binary"
 _POSTINGS = "bucket int, heavy boolean, data binary"
-_LISTS = "run_id long, a long, b long, score int"
+_LISTS = "run_id long, a long, b long, score int, skip int"
+#: A posting: hashed token, document, its size, its typicality, and the share of its tokens before this one (in 255ths, rounded down).
+_POSTING = np.dtype([("token", "<u4"), ("doc", "<i8"), ("n", "<u4"), ("score", "u1"), ("skip", "u1")])
 
 
 def _signatures(k: int):
@@ -59,21 +65,23 @@ def _signatures(k: int):
             n, k1, k2 = (np.array(x, np.uint64).view(np.int64) for x in zip(*rows)) if rows else [np.zeros(0, np.int64)] * 3
             none = pa.nulls(len(n), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n), pa.array(k1), pa.array(k2), none, pa.nulls(len(n), pa.binary())], names=["doc_id", "n_shingles", "k1", "k2", "piece", "counts"])
-        parts = np.split(counts, _PIECES)
+        parts = np.split(np.minimum(counts, 65535).astype(np.uint16), _PIECES)
         used = [i for i, p in enumerate(parts) if p.any()]
         none = pa.nulls(len(used), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(used, pa.int32()), pa.array([parts[i].tobytes() for i in used], pa.binary())], names=["doc_id", "n_shingles", "k1", "k2", "piece", "counts"])
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(used, pa.int32()), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in used], pa.binary())], names=["doc_id", "n_shingles", "k1", "k2", "piece", "counts"])
 
     return run
 
 
-def _add_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _magnitudes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Binary logarithms of the summed counts of each piece."""
     total: dict[int, np.ndarray] = {}
     for batch in batches:
-        for i, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-            part = np.frombuffer(data.as_buffer(), np.uint32)
-            total[i] = total[i] + part if i in total else part.copy()
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["piece", "counts"])
+        for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            part = np.frombuffer(zlib.decompress(data), np.uint16).astype(np.int64)
+            total[i] = total[i] + part if i in total else part
+    logs = [np.log2(np.maximum(x, 1)).astype(np.uint8).tobytes() for x in total.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(logs, pa.binary())], names=["piece", "counts"])
 
 
 def order_keys(tokens: np.ndarray, classes: np.ndarray, order: int) -> np.ndarray:
@@ -95,31 +103,34 @@ def _postings(classes_var, k: int, percent: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = np.frombuffer(classes_var.value, np.uint8)
         seen: set[bytes] = set()
-        keys: list[np.ndarray] = []
-        owners: list[int] = []
-        scores: list[int] = []
-        held = 0
+        held: list[tuple] = []
+        count = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal held
-            if not keys:
+            nonlocal count
+            if not held:
                 return
-            sizes = [len(x) for x in keys]
-            all_keys = np.concatenate(keys)
-            ids, typical = np.repeat(np.array(owners, np.int64), sizes), np.repeat(np.array(scores, np.uint8), sizes)
-            keys.clear(), owners.clear(), scores.clear()
-            held = 0
-            heavy = (all_keys >> np.uint64(58)) >= HEAVY_CLASS
-            token = all_keys & np.uint64((1 << 58) - 1)
-            bucket = np.where(heavy, mix64(ids.view(np.uint64)), token >> np.uint64(32)) % np.uint64(buckets)
-            group = (bucket * np.uint64(2) + heavy).astype(np.int64)
-            order = np.argsort(group, kind="stable")
-            cuts = np.flatnonzero(np.diff(group[order])) + 1
+            keys, docs, sizes, scores = zip(*held)
+            lengths = [len(x) for x in keys]
+            key = np.concatenate(keys)
+            rows = np.empty(len(key), _POSTING)
+            rows["doc"], rows["n"], rows["score"] = (np.repeat(np.array(x, t), lengths) for x, t in ((docs, np.int64), (sizes, np.uint32), (scores, np.uint8)))
+            before = np.arange(len(key)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            rows["skip"] = 255 * before // rows["n"]
+            held.clear()
+            count = 0
+            token = key & np.uint64((1 << 58) - 1)
+            rows["token"] = token.astype(np.uint32)
+            heavy = (key >> np.uint64(58)) >= HEAVY_CLASS
             out = []
-            for rows in np.split(order, cuts):
-                g = int(group[rows[0]])
-                part = token[rows] if g & 1 else token[rows].astype(np.uint32)
-                out.append((g >> 1, bool(g & 1), part.tobytes() + ids[rows].tobytes() + typical[rows].tobytes()))
+            light = np.flatnonzero(~heavy)
+            bucket = (token[light] >> np.uint64(32)) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            light, bucket = light[order], bucket[order]
+            for part in np.split(np.arange(len(light)), np.flatnonzero(np.diff(bucket)) + 1) if len(light) else []:
+                out.append((int(bucket[part[0]]), False, rows[light[part]].tobytes()))
+            if heavy.any():  # their lists are unbounded: dealt as they come, with whole tokens
+                out.append((int(mix64(token[heavy][:1])[0] % np.uint64(buckets)), True, token[heavy].tobytes() + rows[heavy].tobytes()))
             b, h, d = zip(*out)
             yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(h), pa.array(d, pa.binary())], names=["bucket", "heavy", "data"])
 
@@ -127,87 +138,96 @@ def _postings(classes_var, k: int, percent: int, buckets: int):
             for doc_id, s in zip(batch.column(0).to_pylist(), column_shingles(batch.column(1), k)):
                 if doc_id is None or not len(s):
                     continue
-                digest = int(np.sum(mix64(s), dtype=np.uint64)).to_bytes(8, "little") + int(np.sum(mix64(s ^ np.uint64(ORDER_SEEDS[0])), dtype=np.uint64)).to_bytes(8, "little")
+                digest = np.array([np.sum(mix64(s), dtype=np.uint64), np.sum(mix64(s ^ np.uint64(ORDER_SEEDS[0])), dtype=np.uint64)]).tobytes()
                 if digest in seen:
                     continue
                 seen.add(digest)
                 key = order_keys(s, classes, 0)
-                own = prefix(key, percent)
-                keys.append(own)
-                owners.append(doc_id)
-                scores.append(min(255, int(np.mean(key >> np.uint64(58)) * 8)))
-                held += len(own)
-                if held > _FLUSH:
+                own = np.sort(prefix(key, percent))
+                held.append((own, doc_id, len(s), min(255, int(np.mean(key >> np.uint64(58)) * 8))))
+                count += len(own)
+                if count > _FLUSH:
                     yield from flush()
         yield from flush()
 
     return run
 
 
-def _emit(run_id, a, b, score) -> pa.RecordBatch:
+def _emit(run_id, a, b, score, skip) -> pa.RecordBatch:
     n = len(a)
-    return pa.RecordBatch.from_arrays(
-        [pa.nulls(n, pa.int64()) if run_id is None else pa.array(run_id, pa.int64()), pa.array(a, pa.int64()), pa.nulls(n, pa.int64()) if b is None else pa.array(b, pa.int64()), pa.nulls(n, pa.int32()) if score is None else pa.array(score, pa.int32())],
-        names=["run_id", "a", "b", "score"],
-    )
-
-
-def _lists_of(token: np.ndarray, ids: np.ndarray, score: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Pairs of the short lists and members of the longer ones, each list of documents once."""
-    order = np.lexsort((ids, token))
-    token, ids, score = token[order], ids[order], score[order]
-    new = np.ones(len(token), bool)
-    new[1:] = (token[1:] != token[:-1]) | (ids[1:] != ids[:-1])
-    token, ids, score = token[new], ids[new], score[new]
-    start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
-    size = np.diff(np.r_[start, len(token)])
+    cols = [pa.nulls(n, t) if x is None else pa.array(x, t) for x, t in ((run_id, pa.int64()), (a, pa.int64()), (b, pa.int64()), (score, pa.int32()), (skip, pa.int32()))]
+    return pa.RecordBatch.from_arrays(cols, names=["run_id", "a", "b", "score", "skip"])
+
+
+def _may_link(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether two postings of a token allow for a link with this token as the first common one."""
+    n, m = x["n"].astype(np.int64), y["n"].astype(np.int64)
+    least = percent * (n + m)  # overlap * (100 + percent) must reach this
+    return ((100 + percent) * (n - x["skip"] * n // 255) >= least) & ((100 + percent) * (m - y["skip"] * m // 255) >= least)
+
+
+def _lists_of(rows: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of the lists with few of them and members of the other lists, each set of documents once."""
+    rows = rows[np.lexsort((rows["doc"], rows["token"]))]
+    rows = rows[np.r_[True, (rows["token"][1:] != rows["token"][:-1]) | (rows["doc"][1:] != rows["doc"][:-1])]]
+    start = np.flatnonzero(np.r_[True, rows["token"][1:] != rows["token"][:-1]])
+    size = np.diff(np.r_[start, len(rows)])
     pairs = []
-    for m in range(2, SMALL_LIST + 1):
+    for m in range(2, 5):
         at = start[size == m]
-        pairs += [np.stack((ids[at + i], ids[at + j]), 1) for i in range(m) for j in range(i + 1, m)]
+        for i in range(m):
+            for j in range(i + 1, m):
+                x, y = rows[at + i], rows[at + j]
+                ok = _may_link(x, y, percent)
+                pairs.append(np.stack((x["doc"][ok], y["doc"][ok]), 1))
+    runs: dict[int, np.ndarray] = {}
+    for at, m in zip(start[size > 4].tolist(), size[size > 4].tolist()):
+        own = rows[at : at + m]
+        run = int(np.sum(mix64(own["doc"].astype(np.uint64)), dtype=np.uint64)) >> 1
+        if run in runs:
+            np.minimum(runs[run]["skip"], own["skip"], out=runs[run]["skip"])
+            continue
+        i, j = np.triu_indices(m, 1)
+        ok = _may_link(own[i], own[j], percent)
+        if ok.sum() <= PAIRS_EACH * m:
+            pairs.append(np.stack((own["doc"][i[ok]], own["doc"][j[ok]]), 1))
+        else:
+            runs[run] = own.copy()
     if pairs and len(both := np.concatenate(pairs)):
         both = both[np.lexsort((both[:, 1], both[:, 0]))]
         both = both[np.r_[True, np.any(both[1:] != both[:-1], axis=1)]]
-        yield _emit(None, both[:, 0], both[:, 1], None)
-    known: set[int] = set()
-    runs, members, typical = [], [], []
-    for at, m in zip(start[size > SMALL_LIST].tolist(), size[size > SMALL_LIST].tolist()):
-        own = ids[at : at + m]
-        run = int(np.sum(mix64(own.view(np.uint64)), dtype=np.uint64)) >> 1
-        if run in known:
-            continue
-        known.add(run)
-        runs.append(np.full(m, run, np.int64))
-        members.append(own)
-        typical.append(score[at : at + m].astype(np.int32))
+        yield _emit(None, both[:, 0], both[:, 1], None, None)
     if runs:
-        yield _emit(np.concatenate(runs), np.concatenate(members), None, np.concatenate(typical))
+        own = np.concatenate(list(runs.values()))
+        yield _emit(np.repeat(np.array(list(runs), np.int64), [len(x) for x in runs.values()]), own["doc"], None, own["score"].astype(np.int32), own["skip"].astype(np.int32))
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    at = None
+def _gather(percent: int):
+    width = _POSTING.itemsize
 
-    def done() -> Iterator[pa.RecordBatch]:
-        if held:
-            yield from _lists_of(*(np.concatenate(x) for x in zip(*held)))
-            held.clear()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        at = None
 
-    for batch in batches:
-        for bucket, heavy, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            width = 17 if heavy else 13
-            n = len(data) // width
-            token = np.frombuffer(data, np.uint64 if heavy else np.uint32, n)
-            ids = np.frombuffer(data, np.int64, n, n * (width - 9))
-            score = np.frombuffer(data, np.uint8, n, n * (width - 1))
-            if heavy:
-                yield _emit(mix64(token.copy()).view(np.int64) | np.int64(-(1 << 63)), ids, None, score.astype(np.int32))
-                continue
-            if bucket != at:
-                yield from done()
-                at = bucket
-            held.append((token, ids, score))
-    yield from done()
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                yield from _lists_of(np.concatenate(held), percent)
+                held.clear()
+
+        for batch in batches:
+            for bucket, heavy, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if heavy:
+                    n = len(data) // (width + 8)
+                    rows = np.frombuffer(data, _POSTING, n, 8 * n)
+                    yield _emit(mix64(np.frombuffer(data, np.uint64, n)).view(np.int64) | np.int64(-(1 << 63)), rows["doc"], None, rows["score"].astype(np.int32), rows["skip"].astype(np.int32))
+                    continue
+                if bucket != at:
+                    yield from done()
+                    at = bucket
+                held.append(np.frombuffer(data, _POSTING))
+        yield from done()
+
+    return run
 
 
 def _verify(classes_var, k: int, percent: int):
@@ -272,11 +292,10 @@ def shingle_components(documents: DataFrame, k: int = 5, percent: int = 75) -> D
     width = shuffle_width(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stash(docs.mapInArrow(_signatures(k), _SIGNATURES))
-    pieces = signed.where("piece is not null").select("piece", "counts").repartition(_PIECES, "piece").mapInArrow(_add_pieces, "piece int, counts binary").collect()
-    counts = np.zeros((_PIECES, (1 << SKETCH_BITS) // _PIECES), np.uint32)
+    pieces = signed.where("piece is not null").select("piece", "counts").repartition(_PIECES, "piece").mapInArrow(_magnitudes, "piece int, counts binary").collect()
+    classes = np.zeros((_PIECES, (1 << SKETCH_BITS) // _PIECES), np.uint8)
     for p in pieces:
-        counts[p.piece] += np.frombuffer(p.counts, np.uint32)
-    classes = np.minimum(np.log2(np.maximum(counts.ravel(), 1)).astype(np.uint8), 63).astype(np.uint8)
+        classes[p.piece] = np.frombuffer(p.counts, np.uint8)
     classes_var = spark.sparkContext.broadcast(classes.tobytes())
 
     rows = signed.where("piece is null").select("doc_id", "n_shingles", "k1", "k2")
@@ -285,7 +304,7 @@ def shingle_components(documents: DataFrame, k: int = 5, percent: int = 75) -> D
     info = sized.where("doc_id is not null and n_shingles > 0").select("doc_id", "rep", "n_shingles").distinct()
 
     posted = docs.mapInArrow(_postings(classes_var, k, percent, width), _POSTINGS)
-    lists = stash(posted.repartition(width, "bucket").sortWithinPartitions("heavy", "bucket").mapInArrow(_gather, _LISTS))
+    lists = stash(posted.repartition(width, "bucket").sortWithinPartitions("heavy", "bucket").mapInArrow(_gather(percent), _LISTS))
 
     def fits(m: str, n: str):
         return f"100 * least({m}, {n}) >= {percent} * greatest({m}, {n})"
@@ -293,20 +312,28 @@ def shingle_components(documents: DataFrame, k: int = 5, percent: int = 75) -> D
     at_a, at_b = info.toDF("a", "rep_a", "n_a"), info.toDF("b", "rep_b", "n_b")
     pairs = lists.where("run_id is null").select("a", "b").distinct().join(at_a, "a").join(at_b, "b")
     pairs = pairs.where("rep_a <> rep_b").where(fits("n_a", "n_b")).select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
-    runs = lists.where("run_id is not null").select("run_id", "a", "score").join(at_a, "a")
-    runs = stash(runs.groupBy("run_id", F.col("rep_a").alias("rep"), F.col("n_a").alias("n")).agg(F.max("score").alias("score")))
-    hubs = runs.groupBy("run_id").agg(F.max_by(F.struct("rep", "n"), F.struct("score", -F.col("rep"))).alias("hub"))
-    stars = runs.join(hubs, "run_id").where("rep <> hub.rep").where(fits("n", "hub.n")).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"))
+    runs = lists.where("run_id is not null").select("run_id", "a", "score", "skip").join(at_a, "a")
+    runs = stash(runs.groupBy("run_id", F.col("rep_a").alias("rep"), F.col("n_a").alias("n")).agg(F.max("score").alias("score"), F.min("skip").alias("skip")))
+    runs = runs.withColumn("can", F.col("n") - F.expr("skip * n div 255"))  # the most that it can share
+
+    def may_link(m: str, n: str, can_m: str, can_n: str):
+        return f"{100 + percent} * least({can_m}, {can_n}) >= {percent} * ({m} + {n})"
+
+    member = F.struct("rep", "n", "can")
+    ties = (-F.col("rep"), F.xxhash64("rep"), F.xxhash64("rep", "n"))
+    best = runs.groupBy("run_id").agg(*(F.max_by(member, F.struct("score", t)).alias(f"hub{i}") for i, t in enumerate(ties)))
+    hubs = best.select("run_id", F.explode(F.array_distinct(F.array("hub0", "hub1", "hub2"))).alias("hub"))
+    stars = runs.join(hubs, "run_id").where("rep <> hub.rep").where(may_link("n", "hub.n", "can", "hub.can")).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"))
     first = stash(pairs.union(stars).distinct())
     links = _links(docs, first, classes_var, k, percent)
 
     label = connected_components(links)
     marked = runs.join(label.toDF("rep", "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     mixed = marked.groupBy("run_id").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("run_id")
-    open_runs = stash(marked.join(mixed, "run_id", "left_semi").select("run_id", "rep", "n", "label"))
-    other = open_runs.toDF("run_id", "rep2", "n2", "label2")
+    open_runs = stash(marked.join(mixed, "run_id", "left_semi").select("run_id", "rep", "n", "can", "label"))
+    other = open_runs.toDF("run_id", "rep2", "n2", "can2", "label2")
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    crossing = open_runs.join(other, "run_id").where("label < label2").where(fits("n", "n2"))
+    crossing = open_runs.join(other, "run_id").where("label < label2").where(may_link("n", "n2", "can", "can2"))
     second = stash(crossing.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
     if not second.isEmpty():
         more = _links(docs, second, classes_var, k, percent)
@@ -314,6 +341,12 @@ def shingle_components(documents: DataFrame, k: int = 5, percent: int = 75) -> D
     return sized.join(label.toDF("rep", "label"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
 
 
+def one_of_each(documents: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+    """``documents`` without those that a chain of links ties to a smaller id; rows without id stay."""
+    found = shingle_components(documents, k, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
+    return documents.join(stash(found), F.col("doc_id").cast("long") == F.col("_drop"), "left_anti")
+
+
 def brute_components(rows: list[tuple[int, str | None]], k: int = 5, percent: int = 75) -> dict[int, tuple[int, int]]:
     """Plain version for tests: id to (set size, component)."""
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})

@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+_MODULES = ("ranking",)
+
+
+def _all(kind: str) -> dict:
+    out: dict = {}
+    for m in _MODULES:
+        out |= getattr(import_module(f"shortlister.plans.{m}"), kind)
+    return out
+
 
 def queries() -> dict:
-    return {}
+    return _all("QUERIES")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _all("ORACLES")

@@ -64,3 +64,25 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = s.withColumn("p_oracle", gold).join(folds(queries(spark, sf_dir)), ["split", "query_id"])
     real = real_prior(spark, sf_dir)
     return s.join(real.withColumnRenamed("p", "p_real"), ["query_id", "category"], "left").fillna(0.0, ["p_real"])
+
+
+def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_id, user_id, event_type, split, query_id, gen, candidates, gold: texts with calls made from events."""
+    top = with_rank(scores(spark, sf_dir), "s_multi", "query_id").join(tools(spark, sf_dir), "tool_idx")
+    cand = F.struct("rk", "id", F.regexp_replace("id", "[^A-Za-z0-9_-]", "_").alias("name"))
+    per = top.groupBy("split", "query_id", "q_ord").agg(F.array_sort(F.collect_list(F.when(F.col("rk") <= 10, cand))).alias("candidates"), F.array_sort(F.collect_list(F.when(F.col("is_gold"), F.col("id")))).alias("gold"))
+    n = queries(spark, sf_dir).agg(F.count("*").alias("n_q"))
+    e = table(spark, sf_dir, "events").crossJoin(F.broadcast(n)).withColumn("q_ord", F.col("event_id") % F.col("n_q"))
+    e = e.join(per, "q_ord")
+    i = F.col("event_id")
+    r = (1 + i % 12).cast("int")
+    name = F.when(r <= 10, F.try_element_at(F.transform("candidates", lambda c: c["name"]), r)).otherwise(F.concat(F.lit("unknown_"), i.cast("string")))
+    user, limit = F.col("user_id").cast("string"), F.when(i % 3 == 0, "12.5").otherwise((i % 50).cast("string"))
+    q = F.when(i % 7 == 0, "").otherwise(F.concat(F.lit("<parameter=q>\n"), user, F.lit("\n</parameter>\n")))
+    extra = F.when(i % 5 == 0, "<parameter=zz>1</parameter>\n").otherwise("")
+    xml = F.concat(F.lit("<function="), name, F.lit(">\n"), q, F.lit("<parameter=limit>"), limit, F.lit("</parameter>\n"), extra, F.lit("</function>"))
+    block = F.concat(F.lit("Sure.\n<tool_call>\n"), xml, F.lit("\n</tool_call>"))
+    js = F.concat(F.lit('<tool_call>{"name": "'), name, F.lit('", "arguments": {"q": "'), user, F.lit('", "limit": '), (i % 50).cast("string"), F.lit("}}</tool_call>"))
+    kind = F.col("event_type")
+    gen = F.when(kind == "click", block).when(kind == "view", js).when(kind == "purchase", F.concat(xml, xml)).when(kind == "error", F.concat(block, F.lit('<tool_call>{"name": broken</tool_call>'))).otherwise("I can't help with that.")
+    return e.select("event_id", "user_id", "event_type", "split", "query_id", gen.alias("gen"), F.transform("candidates", lambda c: F.struct(c["id"].alias("id"), c["name"].alias("name"))).alias("candidates"), "gold")

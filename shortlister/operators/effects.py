@@ -82,6 +82,6 @@ def prior_shape(base: DataFrame) -> DataFrame:
     both = each.join(sharp, ["split", "query_id"])
     agree = (F.col("pm") > 0) & (F.col("p1") >= F.col("pm") - 1e-9)
     return both.groupBy("split").agg(
-        F.round(F.avg("mx"), 4).alias("mean_max_category_prob"), F.round(F.avg("ent"), 4).alias("mean_norm_entropy"), F.round(F.avg(agree.cast("double")), 4).alias("top1_sem_in_prior_argmax_rate"),
+        F.round(F.avg("mx"), 6).alias("mean_max_category_prob"), F.round(F.avg("ent"), 4).alias("mean_norm_entropy"), F.round(F.avg(agree.cast("double")), 4).alias("top1_sem_in_prior_argmax_rate"),
         F.round(F.avg(F.when((F.col("sp") > 1e-12) & (F.col("ss") > 1e-12), F.col("cov") / (F.col("sp") * F.col("ss")))), 4).alias("mean_corr_prior_sem"),
     )

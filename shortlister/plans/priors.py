@@ -81,7 +81,7 @@ def mcnemar(spark, sf_dir):
 sh AS (SELECT query_id, max(CASE WHEN tot>1e-12 THEN v/tot END) AS mx, CASE WHEN max(tot)>1e-12 THEN -sum(CASE WHEN v/nullif(tot,0)>1e-12 THEN v/tot*ln(v/tot) ELSE 0 END)/ln(count(*)) END AS ent FROM t GROUP BY query_id),
 e AS (SELECT split, query_id, max(p_real) AS pm, stddev_pop(p_real) AS sp, stddev_pop(s_multi) AS ss, corr(p_real, s_multi) AS c FROM b GROUP BY ALL),
 o AS (SELECT query_id, p_real AS p1 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s_multi DESC, tool_idx) AS n FROM b) WHERE n=1)
-SELECT split, round(avg(mx), 4) AS mean_max_category_prob, round(avg(ent), 4) AS mean_norm_entropy, round(avg(CASE WHEN pm>0 AND p1>=pm-1e-9 THEN 1.0 ELSE 0.0 END), 4) AS top1_sem_in_prior_argmax_rate,
+SELECT split, round(avg(mx), 6) AS mean_max_category_prob, round(avg(ent), 4) AS mean_norm_entropy, round(avg(CASE WHEN pm>0 AND p1>=pm-1e-9 THEN 1.0 ELSE 0.0 END), 4) AS top1_sem_in_prior_argmax_rate,
 round(avg(CASE WHEN sp>1e-12 AND ss>1e-12 THEN c END), 4) AS mean_corr_prior_sem FROM e JOIN sh USING (query_id) JOIN o USING (query_id) GROUP BY split""")
 def prior_shape(spark, sf_dir):
     """E24."""

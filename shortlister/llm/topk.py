@@ -3,9 +3,9 @@
 Candidates are dealt into blocks. A block's index has a posting segment for each dimension and quantised component
 (its impact, in steps of STEP): the block's rows whose component falls there. A query scores a segment at the product
 of its own component and the segment's impact, and takes the segments in descending order of that product's size,
-adding to accumulators. What a row can still gain or lose is bounded by the quantisation error and, for the dimensions
-that are not finished, by their next segment; processing stops only when these bounds prove that few rows can be in the
-top k, and those are rescored exactly with the whole vectors. Each block gives every query its k best; the k best of
+adding to accumulators. What a row can still gain or lose is bounded by the quantisation error (by the lengths of query
+and error) and, for the dimensions that are not finished, by their next segment; processing stops only when these bounds
+prove that few rows can be in the top k, or at the end, and the possible ones are rescored exactly with whole vectors. Each block gives every query its k best; the k best of
 all blocks are exact. Queries are met in blocks, too: no task ever holds more than one block of each.
 
 Defined cases: components are floor(256 x) of x as double. A vector that is null or empty, or has a null or non-finite
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import arrow_limits
 
 STEP = 16
+#: Times k: so few possible rows end the processing of segments.
+FEW = 64
 BLOCK_ROWS = 8192
 QUERY_ROWS = 256
 _OUT = "query_id long, vec_id long, score long"
@@ -35,69 +37,59 @@ class Block:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order].astype(np.int64)
-        level = np.floor_divide(self.vectors + STEP // 2, STEP)
-        self.segments: list[tuple[int, int, np.ndarray]] = []
-        for d in range(self.vectors.shape[1]):
-            by = np.argsort(level[:, d], kind="stable").astype(np.int32)
+        self.ids, self.vectors = ids[order], vectors[order].astype(np.float64)  # whole numbers: sums stay exact
+        level = np.floor_divide(vectors[order] + STEP // 2, STEP)
+        # What rounding to levels leaves of each row, as a length: a query times it is at most the product of lengths.
+        self.rest = np.sqrt(((vectors[order] - level * STEP).astype(np.float64) ** 2).sum(axis=1))
+        segments: list[tuple[int, int, np.ndarray]] = []
+        for d in range(vectors.shape[1]):
+            by = np.argsort(level[:, d], kind="stable")
             values, at = np.unique(level[by, d], return_index=True)
-            self.segments += [(d, int(v) * STEP, rows) for v, rows in zip(values, np.split(by, at[1:]))]
-        self.dims = np.array([s[0] for s in self.segments])
-        self.impacts = np.array([s[1] for s in self.segments], np.int64)
+            segments += [(d, int(v) * STEP, rows) for v, rows in zip(values, np.split(by, at[1:])) if v]
+        self.dims = np.array([s[0] for s in segments], np.int64)
+        self.impacts = np.array([s[1] for s in segments], np.float64)
+        self.rows = [s[2] for s in segments]
 
     def top(self, query: np.ndarray, k: int, leave_out: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows but those of the query's own id."""
-        query = query.astype(np.int64)
-        gain = query[self.dims] * self.impacts
+        q = query.astype(np.float64)
+        gain = q[self.dims] * self.impacts if len(self.dims) else np.zeros(0)
         order = np.argsort(-np.abs(gain), kind="stable")
-        order = order[gain[order] != 0]
-        # Of each dimension, what its later segments can add or take away at most, as the segments go by.
-        n, size = len(self.ids), np.abs(gain)[order]
-        acc = np.zeros(n, np.int32)
-        slack = int(np.abs(query).sum()) * (STEP // 2)
-        left = np.zeros(len(query), np.int64)
-        dims = self.dims[order]
-        first = np.unique(dims, return_index=True)
-        left[first[0]] = size[first[1]]
-        later = np.zeros(len(order), np.int64)
-        last: dict[int, int] = {}
-        for i in range(len(order) - 1, -1, -1):
-            later[i] = last.get(int(dims[i]), 0)
-            last[int(dims[i])] = int(size[i])
-        bound = int(left.sum()) - np.cumsum(left_by(dims, size, later))
-        own = np.searchsorted(self.ids, leave_out) if leave_out is not None else n
-        mask = np.flatnonzero(self.ids[own:] == leave_out) + own if own < n else np.zeros(0, np.int64)
-        check = max(1, len(order) // 4)
-        possible = np.arange(n)
-        for i, s in enumerate(order.tolist()):
-            acc[self.segments[s][2]] += np.int32(gain[s])
-            if i + 1 == check or i + 1 == len(order):
-                reach = int(bound[i]) + slack
-                possible = self._possible(acc, k, reach, mask)
-                if len(possible) <= 16 * k:
-                    break
-                check += max(1, len(order) // 8)
-        if not len(order):
-            possible = np.setdiff1d(possible, mask)
-        score = self.vectors[possible] @ query
+        order = order[: np.count_nonzero(gain)]
+        size, dims = np.abs(gain)[order], self.dims[order]
+        # A row has one segment of each dimension: what a dimension can still bring is at most its next segment.
+        by = np.argsort(dims, kind="stable")
+        same = dims[by[1:]] == dims[by[:-1]]
+        later = np.zeros(len(order))
+        later[by[:-1][same]] = size[by[1:][same]]
+        starts = by[np.r_[True, ~same]] if len(by) else by
+        left = size[starts].sum() - np.cumsum(size - later)
+        slack = float(np.sqrt(q @ q)) * self.rest
+        own = slice(np.searchsorted(self.ids, leave_out), np.searchsorted(self.ids, leave_out, "right")) if leave_out is not None else slice(0, 0)
+        acc = np.zeros(len(self.ids))
+        possible, at, n = None, 0, len(order)
+        steps = gain[order].tolist()
+        for to in sorted({n // 2, 3 * n // 4, 7 * n // 8, n}):
+            for s, g in zip(order[at:to].tolist(), steps[at:to]):
+                acc[self.rows[s]] += g
+            at = to
+            possible = self._possible(acc, k, slack + (left[to - 1] if to else left.sum() if n else 0.0), own)
+            if len(possible) <= FEW * k:
+                break
+        score = self.vectors[possible] @ q
         best = np.lexsort((self.ids[possible], -score))[:k]
-        return self.ids[possible[best]], score[best]
+        return self.ids[possible[best]], score[best].astype(np.int64)
 
     @staticmethod
-    def _possible(acc: np.ndarray, k: int, reach: int, mask: np.ndarray) -> np.ndarray:
+    def _possible(acc: np.ndarray, k: int, reach: np.ndarray, own: slice) -> np.ndarray:
         """Rows whose upper bound is not below the k-th best lower bound: any other row is proven to be out."""
-        score = acc.copy()
-        score[mask] = np.iinfo(np.int32).min // 2
-        if len(score) - len(mask) <= k:
-            return np.setdiff1d(np.arange(len(score)), mask)
-        floor = int(np.partition(score, len(score) - k)[len(score) - k])
-        found = np.flatnonzero(score.astype(np.int64) + reach >= floor - reach)
-        return np.setdiff1d(found, mask) if len(mask) else found
-
-
-def left_by(dims: np.ndarray, size: np.ndarray, later: np.ndarray) -> np.ndarray:
-    """How much the sum of what is left shrinks with each segment: from its size to that of its dimension's next one."""
-    return size - later
+        low, high = acc - reach, acc + reach
+        low[own] = high[own] = -np.inf
+        others = len(acc) - (own.stop - own.start)
+        floor = np.partition(low, len(low) - k)[len(low) - k] if others > k else -np.inf
+        found = high >= floor - 1e-6
+        found[own] = False
+        return np.flatnonzero(found)
 
 
 def _gathered(rows: DataFrame, *by: str) -> DataFrame:

@@ -21,18 +21,17 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, stash
+from .common import BYTE_LOWER, arrow_limits, chunks, span_hashes, stash, utf8, word_spans
 
 ANCHOR_WORDS = 8
 PASSAGE_WORDS = 30
 RARE_DOCS = 20
 BLOCK_WORDS = 20
-_ENDS = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
-_WORD = r"[^\x20\x09-\x0D]+"
 
 
 def lines(text: Column) -> Column:
@@ -40,12 +39,63 @@ def lines(text: Column) -> Column:
     return F.split(text, r"(?<=\n)|(?<=[.!?]\x20)", -1)
 
 
-def line_hash(line: Column) -> Column:
-    return F.xxhash64(F.lower(F.regexp_replace(line, _ENDS, "")))
+_END = np.zeros(256, bool)
+_END[[0x21, 0x2E, 0x3F]] = True
 
 
-def _words(line: Column) -> Column:
-    return F.regexp_count(line, F.lit(_WORD)).cast("int")
+def _spans(raw: np.ndarray, off: np.ndarray, sentences: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the lines of each row, as ``lines`` splits them (or at newlines only), and each row's first line."""
+    n = len(raw)
+    after = raw == 10
+    if sentences:
+        after[1:] |= (raw[1:] == 0x20) & _END[raw[:-1]]
+        first = off[:-1][off[:-1] < n]
+        after[first] = raw[first] == 10
+    inner = np.flatnonzero(after) + 1
+    row = np.searchsorted(off, inner - 1, "right") - 1
+    starts = np.concatenate((off[:-1], inner))
+    rows = np.concatenate((np.arange(len(off) - 1), row))
+    order = np.lexsort((starts, rows))
+    starts, rows = starts[order], rows[order]
+    last = np.r_[rows[1:] != rows[:-1], True] if len(rows) else np.zeros(0, bool)
+    ends = np.where(last, off[rows + 1], np.r_[starts[1:], n])
+    return starts, ends, np.searchsorted(rows, np.arange(len(off)))
+
+
+def _measured(raw: np.ndarray, off: np.ndarray, sentences: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash (without case and surrounding space) and word count of each line, and each row's first line."""
+    starts, ends, first = _spans(raw, off, sentences)
+    w0, w1, _ = word_spans(raw, np.unique(np.concatenate((starts, [len(raw)]))))
+    a, b = np.searchsorted(w0, starts), np.searchsorted(w0, ends)
+    some = b > a
+    s, e = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+    s[some], e[some] = w0[a[some]], w1[b[some] - 1]
+    return span_hashes(BYTE_LOWER[raw], s, e).view(np.int64), (b - a).astype(np.int32), first
+
+
+_HASHED = "doc_id long, h array<long>, w array<int>, ph array<long>, pw array<int>"
+
+
+def _hash_lines(anchor_words: int, passage_words: int):
+    def lists(values: np.ndarray, first: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values, kind))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in _HASHED.split(", ")]
+        for batch in batches:
+            raw, off = utf8(batch.column(1))
+            for i, j in chunks(off):
+                part, o = raw[off[i] : off[j]], off[i : j + 1] - off[i]
+                h, w, first = _measured(part, o, True)
+                ph, pw, pfirst = _measured(part, o, False)
+                wide = pw >= passage_words  # of paragraphs, those that are anchors whatever their frequency
+                kept = np.r_[0, np.cumsum(wide)]
+                pfirst = kept[pfirst]
+                out = pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists(h, first, pa.int64()), lists(w, first, pa.int32()), lists(ph[wide], pfirst, pa.int64()), lists(pw[wide], pfirst, pa.int32())], names=names)
+                anchors = np.r_[0, np.cumsum(w >= anchor_words)]
+                yield out.filter(pa.array((np.diff(anchors[first]) > 0) | (np.diff(pfirst) > 0)))
+
+    return run
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -134,12 +184,10 @@ def deletions(documents: DataFrame, anchor_words: int = ANCHOR_WORDS, passage_wo
     """(doc_id, text) to doc_id, places: the line numbers from 0 that go; only documents that lose any."""
     spark = documents.sparkSession
     arrow_limits(spark, 128)
-    split = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), lines(F.col("text")).alias("l"), F.split("text", "\n", -1).alias("p"))
-    # Of paragraphs only those that are anchors whatever their frequency.
-    wide = F.filter(F.transform("p", lambda p: F.struct(line_hash(p).alias("h"), _words(p).alias("w"))), lambda x: x["w"] >= passage_words)
-    hashed = split.select("doc_id", F.transform("l", line_hash).alias("h"), F.transform("l", _words).alias("w"), wide.alias("p"))
-    hashed = stash(hashed.where(F.exists("w", lambda n: n >= anchor_words) | (F.size("p") > 0)))
-    anchors = hashed.select("doc_id", F.explode(F.concat(F.arrays_zip("h", "w"), "p")).alias("x")).where(F.col("x.w") >= anchor_words).select("doc_id", F.col("x.h").alias("h"), F.col("x.w").alias("w"))
+    texts = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    hashed = stash(texts.mapInArrow(_hash_lines(anchor_words, passage_words), _HASHED))
+    each = F.concat(F.arrays_zip("h", "w"), F.arrays_zip(F.col("ph").alias("h"), F.col("pw").alias("w")))
+    anchors = hashed.select("doc_id", F.explode(each).alias("x")).where(F.col("x.w") >= anchor_words).select("doc_id", F.col("x.h").alias("h"), F.col("x.w").alias("w"))
     anchors = stash(anchors.distinct())
     owners = anchors.groupBy("h").agg(F.min("doc_id").alias("owner"), F.count("*").alias("docs"), F.min("w").alias("w")).where("docs > 1").where((F.col("docs") <= rare_docs) | (F.col("w") >= passage_words))
     owned = stash(owners.select("h", "owner"))
@@ -153,7 +201,7 @@ def deletions(documents: DataFrame, anchor_words: int = ANCHOR_WORDS, passage_wo
 def without_repeats(documents: DataFrame, **how) -> DataFrame:
     """``documents`` with the common blocks deleted from the texts of later documents, and the column ``removed_lines``."""
     cut = deletions(documents, **how).select(F.col("doc_id").alias("_cut_id"), F.col("places").alias("_places"))
-    joined = documents.join(stash(cut), F.col("doc_id").cast("long") == F.col("_cut_id"), "left")
+    joined = documents.join(stash(cut).hint("merge"), F.col("doc_id").cast("long") == F.col("_cut_id"), "left")
     left = F.filter(lines(F.col("text")), lambda _, i: ~F.array_contains("_places", i))
     text = F.when(F.col("_places").isNull(), F.col("text")).otherwise(F.array_join(left, ""))
     if "n_chars" in documents.columns:

@@ -344,7 +344,7 @@ def shingle_components(documents: DataFrame, k: int = 5, percent: int = 75) -> D
 def one_of_each(documents: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """``documents`` without those that a chain of links ties to a smaller id; rows without id stay."""
     found = shingle_components(documents, k, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
-    return documents.join(stash(found), F.col("doc_id").cast("long") == F.col("_drop"), "left_anti")
+    return documents.join(stash(found).hint("merge"), F.col("doc_id").cast("long") == F.col("_drop"), "left_anti")
 
 
 def brute_components(rows: list[tuple[int, str | None]], k: int = 5, percent: int = 75) -> dict[int, tuple[int, int]]:

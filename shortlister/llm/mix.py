@@ -108,7 +108,7 @@ def curriculum(documents: DataFrame, **how) -> DataFrame:
     names = documents.columns
     plan = curriculum_plan(documents, **how).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("size").alias("_size"), F.col("taken").alias("_taken"), F.col("positions").alias("_positions"))
     texts = documents.withColumn("_key", _row_key()).dropDuplicates(["_key"])
-    joined = texts.join(plan.withColumnRenamed("_key", "_k"), F.col("_key") == F.col("_k")).where(F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
+    joined = texts.join(plan.withColumnRenamed("_key", "_k").hint("merge"), F.col("_key") == F.col("_k")).where(F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
     each = joined.select(*names, "_size", "_taken", F.posexplode("_positions").alias("_copy", "_position"))
     words = F.col("_taken") - F.col("_copy") * F.col("_size")
     each = each.withColumn("_cut", words < F.col("_size")).withColumn("text", F.when(F.col("_cut"), first_words(F.col("text"), words)).otherwise(F.col("text")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("ranking", "priors", "calls", "prep", "classify")
+_MODULES = ("ranking", "priors", "calls", "prep", "classify", "analysis")
 
 
 def _all(kind: str) -> dict:

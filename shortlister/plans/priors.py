@@ -252,7 +252,7 @@ def oracle_candidates(spark, sf_dir):
 def full_candidates(spark, sf_dir):
     """The whole catalogue in its order."""
     whole = fx.tools(spark, sf_dir).agg(F.array_sort(F.collect_list(F.struct("tool_idx", "id"))).alias("t")).select(F.array_join(F.transform("t", lambda x: x["id"]), ",").alias("candidates"))
-    return fx.queries(spark, sf_dir).select("split", "query_id").crossJoin(F.broadcast(whole))
+    return fx.queries(spark, sf_dir).select("split", "query_id").crossJoin(whole)
 
 
 @query(f"""{FX1}, m AS (SELECT tool_idx, slot, split, query_id, d, row_number() OVER (PARTITION BY tool_idx, slot, split ORDER BY d DESC, q_ord) AS n FROM dots WHERE slot>0)

@@ -1,11 +1,11 @@
 """Line dedup by pairwise alignment.
 
 Prose has few newlines, so that a line here ends at a newline or after a full stop, question or exclamation mark that a
-space follows. Lines are compared without surrounding white space and without case. A line, or all that stands between
-two newlines, is an anchor if it has at least ANCHOR_WORDS words; the first document (smallest id) that has it owns it,
-and each later document that has it, too, is aligned with the owner. So a line shared by many documents gives one pair for each of them, not all pairs; and every
-later occurrence has a pair. Rare anchors (in at most RARE_DOCS documents) make pairs whatever their length, frequent
-ones only if they have PASSAGE_WORDS words or more: short frequent lines are boilerplate, not evidence of overlap.
+space follows. Lines are compared without surrounding white space and without case. An anchor is a run of neighbouring
+lines that just reaches BLOCK_WORDS words: from each line forwards and from each line backwards the shortest one, within
+the document. So each line of a common block of that many words, whatever its lines are and however many documents have
+it, lies in an anchor within the block. The first document (smallest id) that has an anchor owns it, and each later
+document that has it, too, is aligned with the owner: one pair for each later document, not all pairs.
 
 A pair is aligned by patience diff: lines that are unique in both documents, in the longest order-preserving
 selection, split the pair into stretches that are aligned in turn, down to equal lines at their ends. Runs of aligned
@@ -26,12 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_LOWER, arrow_limits, chunks, span_hashes, stash, utf8, word_spans
+from .common import BYTE_LOWER, arrow_limits, chunks, mix64, span_hashes, stash, utf8, word_spans
 
-ANCHOR_WORDS = 8
-PASSAGE_WORDS = 30
-RARE_DOCS = 20
 BLOCK_WORDS = 20
+#: Bytes of text whose lines are hashed at once: small, as a worker shares its executor's memory; results do not depend on it.
+HASHED_BYTES = 1 << 19
 
 
 def lines(text: Column) -> Column:
@@ -43,7 +42,7 @@ _END = np.zeros(256, bool)
 _END[[0x21, 0x2E, 0x3F]] = True
 
 
-def _spans(raw: np.ndarray, off: np.ndarray, sentences: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _spans(raw: np.ndarray, off: np.ndarray, sentences: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the lines of each row, as ``lines`` splits them (or at newlines only), and each row's first line."""
     n = len(raw)
     after = raw == 10
@@ -62,9 +61,9 @@ def _spans(raw: np.ndarray, off: np.ndarray, sentences: bool) -> tuple[np.ndarra
     return starts, ends, np.searchsorted(rows, np.arange(len(off)))
 
 
-def _measured(raw: np.ndarray, off: np.ndarray, sentences: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _measured(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash (without case and surrounding space) and word count of each line, and each row's first line."""
-    starts, ends, first = _spans(raw, off, sentences)
+    starts, ends, first = _spans(raw, off)
     w0, w1, _ = word_spans(raw, np.unique(np.concatenate((starts, [len(raw)]))))
     a, b = np.searchsorted(w0, starts), np.searchsorted(w0, ends)
     some = b > a
@@ -73,10 +72,26 @@ def _measured(raw: np.ndarray, off: np.ndarray, sentences: bool) -> tuple[np.nda
     return span_hashes(BYTE_LOWER[raw], s, e).view(np.int64), (b - a).astype(np.int32), first
 
 
-_HASHED = "doc_id long, h array<long>, w array<int>, ph array<long>, pw array<int>"
+def _runs(h: np.ndarray, w: np.ndarray, first: np.ndarray, block_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each row's shortest runs of lines with ``block_words`` words, from and to each line, each once; and each row's first one."""
+    n, rows = len(h), np.repeat(np.arange(len(first) - 1), np.diff(first))
+    words, at = np.r_[0, np.cumsum(w, dtype=np.int64)], np.arange(n)
+    to = np.searchsorted(words, words[:-1] + block_words)
+    since = np.searchsorted(words, words[1:] - block_words, "right") - 1
+    ahead, behind = to <= first[rows + 1], since >= first[rows]
+    starts, ends = np.concatenate((at[ahead], since[behind])), np.concatenate((to[ahead], at[behind] + 1))
+    found, row = span_hashes(mix64(h.view(np.uint64)), starts, ends).view(np.int64), rows[starts]
+    order = np.lexsort((found, row))
+    found, row = found[order], row[order]
+    new = np.ones(len(found), bool)
+    new[1:] = (found[1:] != found[:-1]) | (row[1:] != row[:-1])
+    return found[new], np.searchsorted(row[new], np.arange(len(first)))
 
 
-def _hash_lines(anchor_words: int, passage_words: int):
+_HASHED = "doc_id long, h array<long>, w array<int>, anchors array<long>"
+
+
+def _hash_lines(block_words: int):
     def lists(values: np.ndarray, first: np.ndarray, kind: pa.DataType) -> pa.ListArray:
         return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values, kind))
 
@@ -84,16 +99,11 @@ def _hash_lines(anchor_words: int, passage_words: int):
         names = [x.split()[0] for x in _HASHED.split(", ")]
         for batch in batches:
             raw, off = utf8(batch.column(1))
-            for i, j in chunks(off):
-                part, o = raw[off[i] : off[j]], off[i : j + 1] - off[i]
-                h, w, first = _measured(part, o, True)
-                ph, pw, pfirst = _measured(part, o, False)
-                wide = pw >= passage_words  # of paragraphs, those that are anchors whatever their frequency
-                kept = np.r_[0, np.cumsum(wide)]
-                pfirst = kept[pfirst]
-                out = pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists(h, first, pa.int64()), lists(w, first, pa.int32()), lists(ph[wide], pfirst, pa.int64()), lists(pw[wide], pfirst, pa.int32())], names=names)
-                anchors = np.r_[0, np.cumsum(w >= anchor_words)]
-                yield out.filter(pa.array((np.diff(anchors[first]) > 0) | (np.diff(pfirst) > 0)))
+            for i, j in chunks(off, HASHED_BYTES):
+                h, w, first = _measured(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+                anchors, afirst = _runs(h, w, first, block_words)
+                out = pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists(h, first, pa.int64()), lists(w, first, pa.int32()), lists(anchors, afirst, pa.int64())], names=names)
+                yield out.filter(pa.array(np.diff(afirst) > 0))
 
     return run
 
@@ -180,18 +190,15 @@ def _align(block_words: int):
     return run
 
 
-def deletions(documents: DataFrame, anchor_words: int = ANCHOR_WORDS, passage_words: int = PASSAGE_WORDS, rare_docs: int = RARE_DOCS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def deletions(documents: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, text) to doc_id, places: the line numbers from 0 that go; only documents that lose any."""
     spark = documents.sparkSession
     arrow_limits(spark, 128)
     texts = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    hashed = stash(texts.mapInArrow(_hash_lines(anchor_words, passage_words), _HASHED))
-    each = F.concat(F.arrays_zip("h", "w"), F.arrays_zip(F.col("ph").alias("h"), F.col("pw").alias("w")))
-    anchors = hashed.select("doc_id", F.explode(each).alias("x")).where(F.col("x.w") >= anchor_words).select("doc_id", F.col("x.h").alias("h"), F.col("x.w").alias("w"))
-    anchors = stash(anchors.distinct())
-    owners = anchors.groupBy("h").agg(F.min("doc_id").alias("owner"), F.count("*").alias("docs"), F.min("w").alias("w")).where("docs > 1").where((F.col("docs") <= rare_docs) | (F.col("w") >= passage_words))
-    owned = stash(owners.select("h", "owner"))
-    pairs = anchors.join(owned, "h").where("doc_id <> owner").select("doc_id", "owner").distinct()
+    hashed = stash(texts.mapInArrow(_hash_lines(block_words), _HASHED))
+    anchors = hashed.select("doc_id", F.explode("anchors").alias("anchor"))
+    owned = stash(anchors.groupBy("anchor").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("anchor", "owner"))
+    pairs = anchors.join(owned, "anchor").where("doc_id <> owner").select("doc_id", "owner").distinct()
     side = hashed.dropDuplicates(["doc_id"])
     met = stash(pairs).join(side.select(F.col("doc_id").alias("owner"), F.col("h").alias("a")), "owner").join(side.select("doc_id", F.col("h").alias("b"), "w"), "doc_id")
     cut = met.select("doc_id", "a", "b", "w").mapInArrow(_align(block_words), "doc_id long, places array<int>")

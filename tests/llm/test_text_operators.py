@@ -91,6 +91,19 @@ def test_line_dedup(spark):
     assert linedup.without_repeats(df.limit(0)).collect() == []
 
 
+def sentence(r, words):
+    return " ".join(r.choice(WORDS) for _ in range(words)).capitalize() + ". "
+
+
+def test_line_dedup_of_a_frequent_passage_of_short_sentences(spark):
+    r = random.Random(8)
+    passage = "".join(sentence(r, 11) for _ in range(5))
+    rows = [(i, sentence(r, 12) + passage + sentence(r, 9)) for i in range(40)]
+    out = {x.doc_id: x for x in linedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[0].text == rows[0][1]
+    assert all(out[i].text == t.replace(passage, "") and out[i].removed_lines == 5 for i, t in rows[1:])
+
+
 def test_numpy_lines_are_those_of_the_split(spark):
     texts = ["a\n", "", "x. y! z?\n\nq.", "\n\n", " . a. b", "ab. \ncd", "é. ü! ", "...  a"]
     raw, off = utf8(__import__("pyarrow").array(texts))

@@ -2,7 +2,10 @@
 
 The k-grams of a text's code points are hashed by a rolling polynomial. From each window of w consecutive k-gram hashes
 the smallest is chosen, the rightmost of equal ones, and kept with its position. Any two texts that share a run of at
-least w + k - 1 code points therefore share a chosen hash, and no match shorter than k counts.
+least w + k - 1 code points therefore share a chosen hash, and no match shorter than k counts. Windows are WINDOW wide;
+in a text of fewer than 10 * WINDOW code points a tenth of it, LEAST_WINDOW at least, so that short texts have more than
+one or two hashes, too. A narrower window chooses all that a wider one does: two texts of different windows share a
+chosen hash as if both had the wider one.
 
 A fingerprint is the chosen ``hash@position`` pairs (hash: 10 hex digits; position: code points before the k-gram),
 separated by spaces, by position. Likeness is the Jaccard similarity of the sets of chosen hashes.
@@ -27,6 +30,7 @@ from .common import arrow_limits, mix64, shuffle_width, span_hashes, text_or_emp
 
 GRAM = 16
 WINDOW = 64
+LEAST_WINDOW = 4
 _HASH_BITS = 40
 _LOW = np.uint64((1 << 24) - 1)
 _CODE = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 1 << 12, dtype=np.uint64)
@@ -42,9 +46,15 @@ def _sliding_choice(key: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
-def winnow(points: np.ndarray, k: int = GRAM, w: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and positions chosen from an array of code points."""
+def window_of(n: int) -> int:
+    """The window of a text of n code points."""
+    return min(WINDOW, max(LEAST_WINDOW, n // 10))
+
+
+def winnow(points: np.ndarray, k: int = GRAM, w: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and positions chosen from an array of code points; without w, the window is that of the text's length."""
     n = len(points)
+    w = window_of(n) if w is None else w
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     values = _CODE[points & 0xFFF] + points.astype(np.uint64)
@@ -83,7 +93,7 @@ def likeness(x: np.ndarray, y: np.ndarray) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def fingerprints(documents: DataFrame, k: int = GRAM, w: int = WINDOW) -> DataFrame:
+def fingerprints(documents: DataFrame, k: int = GRAM, w: int | None = None) -> DataFrame:
     """(doc_id, text) to doc_id, hashes (array of long), positions (array of int)."""
     arrow_limits(documents.sparkSession)
 
@@ -107,7 +117,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[x.split()[0] for x in _OUT.split(", ")])
 
 
-def _compare(k: int, w: int):
+def _compare(k: int, w: int | None):
     """Rows (part, borrowed, doc_id, text) of whole parts, in descending order, each followed by the first row of the next part."""
 
     def row(last: tuple, next_text: str, after: tuple) -> tuple:
@@ -133,7 +143,7 @@ def _compare(k: int, w: int):
     return run
 
 
-def edited_likeness(documents: DataFrame, k: int = GRAM, w: int = WINDOW) -> DataFrame:
+def edited_likeness(documents: DataFrame, k: int = GRAM, w: int | None = None) -> DataFrame:
     """Each document's fingerprint, that of its edited text, and its likeness to this and to the next document.
 
     The next document is the one with the next smaller id (null ids come last; equal ids by a hash of the text, then

@@ -156,6 +156,17 @@ def test_winnowing_guarantee_and_ties():
     assert same.tolist() == list(range(5, 197))  # rightmost of equal ones
 
 
+def test_short_texts_keep_a_likeness_to_their_edits():
+    r = random.Random(12)
+    text = lambda n: np.array([r.randrange(97, 123) for _ in range(n)], np.uint32)
+    for n in [*range(40, 160, 3), 640, 2000]:
+        own, other = text(n), text(n)
+        edited = np.concatenate((own[: n - n // 3], other[: n // 3]))
+        assert 0 < winnow.likeness(winnow.winnow(own)[0], winnow.winnow(edited)[0]) < 1
+        narrow, wide = winnow.winnow(own)[1].tolist(), winnow.winnow(own, w=winnow.WINDOW)[1].tolist()
+        assert set(wide) <= set(narrow) and (n < 640 or wide == narrow)
+
+
 def test_edited_likeness(spark):
     rows = [(3, "abcdefghi" * 30, "x"), (1, "0123456789" * 30, "x"), (2, None, "x"), (7, "", "x"), (5, "éa" * 100, "x"), (9, "short", "x")]
     out = {r.doc_id: r for r in winnow.edited_likeness(spark.createDataFrame(rows, "doc_id long, text string, part string")).collect()}

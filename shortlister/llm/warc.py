@@ -7,7 +7,10 @@ and renames it when it is whole, so a retried task replaces it with the same byt
 Reader: files are cut into byte ranges. A task looks in its range for the gzip magic, accepts a candidate member only if
 its first bytes inflate to a WARC version line, and owns the records that start inside the range, reading past the end
 of it to finish the last one. After an accepted member the search goes on behind it, so magic bytes inside a member are
-not looked at. Response payloads are checked against their digest.
+not looked at. Response payloads are checked against their digest. Archives of other writers are read, too: where a
+record has no X-Payload-Length or no SHA-1 payload digest, size and digest are those of the payload; a revisit without
+them has null. The payload of a response is what follows the HTTP headers of an HTTP block, otherwise and in records of
+other types the whole block. A member that begins as a WARC record but is damaged or ends early raises ValueError.
 
 Defined cases: a null payload is empty and a ``response``; a null page id or URL is left out of the record and read as
 null. Rows that repeat the largest id of equal payloads are all responses; if all their ids are null, all are. Control
@@ -68,20 +71,33 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return out.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + out.flush()
 
 
+def _sha1(named: str | None) -> str | None:
+    """A labelled digest in hex, if it is a SHA-1 in base 32 or 16."""
+    label, _, value = (named or "").strip().partition(":")
+    if label.lower() != "sha1":
+        return None
+    return value.lower() if len(value) == 40 else base64.b32decode(value.upper()).hex()
+
+
 def parse(data: bytes) -> tuple:
     """The row of an inflated record."""
     head, _, rest = data.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    block = rest[: int(fields["Content-Length"])]
-    digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-    kind, payload = fields["WARC-Type"], None
-    size = int(fields["X-Payload-Length"])
-    if kind == "response":
-        payload = block.partition(b"\r\n\r\n")[2]
-        if hashlib.sha1(payload).hexdigest() != digest or len(payload) != size:
-            raise ValueError(f"payload of {fields['WARC-Record-ID']} differs from its digest")
+    lines = re.sub(r"\r\n[ \t]+", " ", head.decode()).split("\r\n")[1:]
+    fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
+    block = rest[: (length := int(fields["content-length"]))]
+    if len(block) != length:
+        raise ValueError(f"record {fields.get('warc-record-id')} ends before its content length")
     number = lambda name: int(fields[name]) if name in fields else None
-    return number("X-Page-Id"), fields.get("WARC-Target-URI"), kind, number("X-Refers-To-Page-Id"), size, digest, payload
+    kind, payload = fields["warc-type"], None
+    size, digest = number("x-payload-length"), _sha1(fields.get("warc-payload-digest"))
+    if kind != "revisit":
+        http = kind == "response" and block.startswith(b"HTTP/")
+        payload = block.partition(b"\r\n\r\n")[2] if http else block
+        found = hashlib.sha1(payload).hexdigest()
+        if kind == "response" and (digest not in (None, found) or size not in (None, len(payload))):
+            raise ValueError(f"payload of {fields.get('warc-record-id')} differs from its digest")
+        size, digest = len(payload), found
+    return number("x-page-id"), fields.get("warc-target-uri"), kind, number("x-refers-to-page-id"), size, digest, payload
 
 
 def write_warc(pages: DataFrame, folder: str, revisit_from: int = REVISIT_FROM) -> DataFrame:
@@ -140,27 +156,45 @@ def records_in(source, start: int, end: int) -> Iterator[bytes]:
 
 
 def _member(source, at: int) -> tuple[bytes, int] | None:
-    """The inflated member at an offset and its length, or None if it isn't a WARC record."""
+    """The inflated member at an offset and its length, or None if it doesn't begin as a WARC record."""
     inflate, out, read = zlib.decompressobj(31), [], 0
     source.seek(at)
+    begun = False
     while not inflate.eof:
-        piece = source.read(_CHUNK if out else 4096)
-        if not piece:
-            return None
-        read += len(piece)
+        piece = source.read(_CHUNK if begun else 4096)
         try:
-            out.append(inflate.decompress(piece))
-        except zlib.error:
+            if not piece:
+                raise zlib.error("the file ends within it")
+            data = inflate.decompress(piece)
+        except zlib.error as e:
+            if begun or _begins(source, at):
+                raise ValueError(f"damaged WARC member at byte {at}: {e}") from e
             return None
-        if len(out) == 1 and not out[0].startswith(b"WARC/"):
+        read += len(piece)
+        out.append(data)
+        if not begun and not (begun := data.startswith(b"WARC/")):
             return None
     return b"".join(out), read - len(inflate.unused_data)
 
 
+def _begins(source, at: int) -> bool:
+    """Whether what inflates of the first bytes of a damaged member begins as a WARC record."""
+    source.seek(at)
+    inflate, out = zlib.decompressobj(31), b""
+    try:
+        for byte in source.read(4096):
+            out += inflate.decompress(bytes([byte]))
+            if len(out) >= 5:
+                break
+    except zlib.error:
+        pass
+    return out.startswith(b"WARC/")
+
+
 def read_warc(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload of each record in ``folder``.
 
-    ``payload`` is null for a revisit; its size and digest are those of the full payload.
+    ``payload`` is null for a revisit; its size and digest are those of the full payload, as far as the record has them.
     """
     arrow_limits(spark, 256)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path", "length").where("length > 0")

@@ -69,6 +69,32 @@ def test_ranges_own_each_record_once():
         warc.parse(head.replace(b"abc", b"abd"))
 
 
+def member(kind, block, *head):
+    return gzip.compress("\r\n".join(["WARC/1.0", f"WARC-Type: {kind}", *head, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
+def test_archives_of_other_writers():
+    sha1 = lambda x: hashlib.sha1(x).hexdigest()
+    http = b"HTTP/1.1 200 OK\r\n\r\n"
+    data = member("warcinfo", b"software: x\r\n") + member("request", b"GET / HTTP/1.1\r\n\r\n", "WARC-Target-URI: http://a/") + member("response", http + b"page", "warc-target-uri:http://a/", "WARC-Payload-Digest: sha256:00") + member("response", b"plain") + member("metadata", b"") + member("revisit", http)
+    rows = [warc.parse(x) for x in warc.records_in(io.BytesIO(data), 0, len(data))]
+    assert [r[2] for r in rows] == ["warcinfo", "request", "response", "response", "metadata", "revisit"]
+    assert rows[2] == (None, "http://a/", "response", None, 4, sha1(b"page"), b"page") and rows[3][6] == b"plain"
+    assert rows[0][4:] == (13, sha1(b"software: x\r\n"), b"software: x\r\n") and rows[5][4:] == (None, None, None)
+
+
+def test_damaged_members_are_not_skipped():
+    data = warc.record(1, "u", random.Random(1).randbytes(20_000))
+    for bad in (data[:-4], data[:3000], data[:9000] + bytes(200) + data[9200:], data[:-8] + bytes(8)):
+        with pytest.raises(ValueError):
+            list(warc.records_in(io.BytesIO(bad), 0, len(bad)))
+    small = warc.record(2, "u", b"abc")
+    with pytest.raises(ValueError):
+        list(warc.records_in(io.BytesIO(small[:-8] + bytes(8)), 0, len(small)))
+    other = b"\x1f\x8b\x08 no member" + gzip.compress(b"x" * 99) + small
+    assert [warc.parse(x)[0] for x in warc.records_in(io.BytesIO(other), 0, len(other))] == [2]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_top_k_is_exact(spark, seed):
     r = np.random.default_rng(seed)

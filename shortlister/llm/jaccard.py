@@ -38,6 +38,8 @@ SKETCH_BITS = 23
 _PIECES = 64
 #: Lists with up to so many candidate pairs for each of their documents give them at once.
 PAIRS_EACH = 4
+#: Members on each side of a cell of a longer list, in shingle_links.
+PAIR_BLOCK = 256
 #: Tokens with sketch counts from 2 ** HEAVY_CLASS on are dealt by document, not gathered by token.
 HEAVY_CLASS = 10
 #: Hashes of the further orders; the first one makes the postings.
@@ -282,11 +284,13 @@ def _links(docs: DataFrame, edges: DataFrame, classes_var, k: int, percent: int)
     return stash(found.mapInArrow(_verify(classes_var, k, percent), "a long, b long").distinct())
 
 
-def shingle_components(documents: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
-    """(doc_id, text) to doc_id, n_shingles, component_id: the smallest id linked with it by any chain, or its own.
+def _could_link(percent: int, m: str, n: str, can_m: str, can_n: str) -> str:
+    """For sets of sizes m and n that can share can_m and can_n at most."""
+    return f"{100 + percent} * least({can_m}, {can_n}) >= {percent} * ({m} + {n})"
 
-    100 * intersection >= percent * union links two sets. See the module for the method and the defined cases.
-    """
+
+def _candidates(documents: DataFrame, k: int, percent: int) -> tuple:
+    """The texts, the classes of tokens, each document's representative, candidate pairs, and the members of longer lists."""
     spark = documents.sparkSession
     arrow_limits(spark)
     width = shuffle_width(spark)
@@ -315,15 +319,36 @@ def shingle_components(documents: DataFrame, k: int = 5, percent: int = 75) -> D
     runs = lists.where("run_id is not null").select("run_id", "a", "score", "skip").join(at_a, "a")
     runs = stash(runs.groupBy("run_id", F.col("rep_a").alias("rep"), F.col("n_a").alias("n")).agg(F.max("score").alias("score"), F.min("skip").alias("skip")))
     runs = runs.withColumn("can", F.col("n") - F.expr("skip * n div 255"))  # the most that it can share
+    return docs, classes_var, sized, pairs, runs
+
+
+def shingle_links(documents: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+    """(doc_id, text) to a, b: all links (a < b) between representatives, the smallest ids of equal sets, each once.
+
+    Documents with equal sets are linked, too, and share the links of their representative. All pairs of a longer list
+    are verified, in cells of about PAIR_BLOCK members each way, so that no task meets a whole list.
+    """
+    docs, classes_var, _, pairs, runs = _candidates(documents, k, percent)
+    blocks = runs.groupBy("run_id").agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("long").alias("blocks"))
+    dealt = runs.join(blocks, "run_id").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    one = dealt.select("run_id", F.col("block").alias("i"), F.expr("explode(sequence(block, blocks - 1))").alias("j"), "rep", "n", "can")
+    other = dealt.select("run_id", F.expr("explode(sequence(0L, block))").alias("i"), F.col("block").alias("j"), F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("can").alias("can2"))
+    met = one.join(other, ["run_id", "i", "j"]).where("i < j or rep < rep2").where(_could_link(percent, "n", "n2", "can", "can2"))
+    met = met.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
+    return _links(docs, stash(pairs.union(met).distinct()), classes_var, k, percent)
 
-    def may_link(m: str, n: str, can_m: str, can_n: str):
-        return f"{100 + percent} * least({can_m}, {can_n}) >= {percent} * ({m} + {n})"
 
+def shingle_components(documents: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+    """(doc_id, text) to doc_id, n_shingles, component_id: the smallest id linked with it by any chain, or its own.
+
+    100 * intersection >= percent * union links two sets. See the module for the method and the defined cases.
+    """
+    docs, classes_var, sized, pairs, runs = _candidates(documents, k, percent)
     member = F.struct("rep", "n", "can")
     ties = (-F.col("rep"), F.xxhash64("rep"), F.xxhash64("rep", "n"))
     best = runs.groupBy("run_id").agg(*(F.max_by(member, F.struct("score", t)).alias(f"hub{i}") for i, t in enumerate(ties)))
     hubs = best.select("run_id", F.explode(F.array_distinct(F.array("hub0", "hub1", "hub2"))).alias("hub"))
-    stars = runs.join(hubs, "run_id").where("rep <> hub.rep").where(may_link("n", "hub.n", "can", "hub.can")).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"))
+    stars = runs.join(hubs, "run_id").where("rep <> hub.rep").where(_could_link(percent, "n", "hub.n", "can", "hub.can")).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"))
     first = stash(pairs.union(stars).distinct())
     links = _links(docs, first, classes_var, k, percent)
 
@@ -333,7 +358,7 @@ def shingle_components(documents: DataFrame, k: int = 5, percent: int = 75) -> D
     open_runs = stash(marked.join(mixed, "run_id", "left_semi").select("run_id", "rep", "n", "can", "label"))
     other = open_runs.toDF("run_id", "rep2", "n2", "can2", "label2")
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    crossing = open_runs.join(other, "run_id").where("label < label2").where(may_link("n", "n2", "can", "can2"))
+    crossing = open_runs.join(other, "run_id").where("label < label2").where(_could_link(percent, "n", "n2", "can", "can2"))
     second = stash(crossing.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
     if not second.isEmpty():
         more = _links(docs, second, classes_var, k, percent)

@@ -32,6 +32,28 @@ def docs(spark):
     return spark.createDataFrame(corpus(), DOCS)
 
 
+def brute_links(rows):
+    sets = {i: x for (i, _), x in zip(rows, (set(s.tolist()) for s in shingle_sets(*utf8(__import__("pyarrow").array([t or "" for _, t in rows]))))) if x}
+    reps = {}
+    for i in sorted(sets):
+        reps.setdefault(frozenset(sets[i]), i)
+    ids = sorted(reps.values())
+    return {(x, y) for i, x in enumerate(ids) for y in ids[i + 1 :] if 100 * len(sets[x] & sets[y]) >= 75 * len(sets[x] | sets[y])}
+
+
+def test_links_are_all_pairs(spark, docs, monkeypatch):
+    r = random.Random(6)
+    base = [r.choice(WORDS) for _ in range(150)]
+    rows = [(i, " ".join(base[:k] + [f"y{i}"] + base[k + 1 :])) for i, k in enumerate(r.sample(range(5, 145), 60))]
+    for block in (7, 256):
+        monkeypatch.setattr(jaccard, "PAIR_BLOCK", block)
+        for df, plain in ((docs, [x[:2] for x in corpus()]), (spark.createDataFrame(rows, "doc_id long, text string"), rows)):
+            found = [tuple(x) for x in jaccard.shingle_links(df).select(F.least("a", "b"), F.greatest("a", "b")).collect()]
+            assert len(found) == len(set(found)) and set(found) == brute_links(plain)
+    assert len(brute_links(rows)) > 1000
+    assert jaccard.shingle_links(docs.limit(0)).collect() == []
+
+
 def test_shingle_sets_are_those_of_plain_words():
     texts = ["A b\x0bc d e f", "", "x", "x y z", "a  b\n c d e f", "é É é É é É", " b c"]
     raw, off = utf8(__import__("pyarrow").array(texts))

@@ -126,6 +126,14 @@ def test_line_dedup_of_a_frequent_passage_of_short_sentences(spark):
     assert all(out[i].text == t.replace(passage, "") and out[i].removed_lines == 5 for i, t in rows[1:])
 
 
+def test_line_dedup_of_a_block_of_short_lines(spark):
+    r = random.Random(9)
+    block = "".join(sentence(r, 3) for _ in range(9))
+    rows = [(1, sentence(r, 9) + block + sentence(r, 9)), (2, sentence(r, 5) + block + sentence(r, 6)), (3, block[: block.index(". ") + 2] + sentence(r, 30))]
+    out = {x.doc_id: x for x in linedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1].text == rows[0][1] and out[2].text == rows[1][1].replace(block, "") and out[3].text == rows[2][1]
+
+
 def test_numpy_lines_are_those_of_the_split(spark):
     texts = ["a\n", "", "x. y! z?\n\nq.", "\n\n", " . a. b", "ab. \ncd", "é. ü! ", "...  a"]
     raw, off = utf8(__import__("pyarrow").array(texts))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -134,6 +135,32 @@ def test_line_dedup_of_a_block_of_short_lines(spark):
     assert out[1].text == rows[0][1] and out[2].text == rows[1][1].replace(block, "") and out[3].text == rows[2][1]
 
 
+def plain_line_dedup(texts, words=20):
+    """Id to what is left of the text: every document aligned with every earlier one."""
+    split = {i: re.split(r"(?<=\n)|(?<=[.!?] )", t) for i, t in texts.items()}
+    key = {i: [x.strip().lower() for x in ls] for i, ls in split.items()}
+    gone = {i: set() for i in texts}
+    for i in texts:
+        for j in texts:
+            if j < i:
+                for _, at, n in linedup.blocks(key[j], key[i]):
+                    if sum(len(x.split()) for x in split[i][at : at + n]) >= words:
+                        gone[i].update(range(at, at + n))
+    return {i: "".join(x for k, x in enumerate(ls) if k not in gone[i]) for i, ls in split.items()}
+
+
+def test_line_dedup_is_that_of_all_pairs(spark):
+    r = random.Random(10)
+    shared = [[sentence(r, r.randint(2, 14)) for _ in range(r.randint(1, 8))] for _ in range(8)]
+    texts = {}
+    for i in range(60):
+        parts = [[sentence(r, r.randint(1, 15))] + (b[r.randint(0, 1) :] if r.random() < 0.5 else [sentence(r, 9)]) for b in shared]
+        texts[i] = "".join(x for p in parts for x in p)
+    want = plain_line_dedup(texts)
+    got = {x.doc_id: x.text for x in linedup.without_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == want and sum(want[i] != texts[i] for i in texts) > 30
+
+
 def test_numpy_lines_are_those_of_the_split(spark):
     texts = ["a\n", "", "x. y! z?\n\nq.", "\n\n", " . a. b", "ab. \ncd", "é. ü! ", "...  a"]
     raw, off = utf8(__import__("pyarrow").array(texts))

@@ -4,8 +4,8 @@ The longest common prefix of turns (same role and text) is rendered once, as the
 completions. Of a completion, the loss falls on the text and end marker of assistant turns; its spans are given as
 ``start-end`` code point offsets, joined by commas. DataFrame functions only.
 
-Defined cases: a null role is ``unknown``, a null text empty; a marker inside a text is broken up so that it can't pass
-for one; rows of a conversation that repeat (same turn, role and text) count once; turns go by number, nulls first, then
+Defined cases: a null role is ``unknown``, a null text empty; what could begin a marker in a text or a role, or end one in a
+role, is broken up by a space so that it can't pass for one; rows of a conversation that repeat (same turn, role and text) count once; turns go by number, nulls first, then
 role and text. Equal conversations have an empty completion each. A missing side is a conversation without turns. Rows
 without a conversation id belong to no conversation.
 """
@@ -20,7 +20,7 @@ END = "<|end|>\n"
 
 def conversations(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text) to conv_id, turns: array of (role, text) in order."""
-    role = F.coalesce(F.col("role"), F.lit("unknown")).alias("role")
+    role = F.replace(F.replace(F.coalesce(F.col("role"), F.lit("unknown")), F.lit("<|"), F.lit("< |")), F.lit("|>"), F.lit("| >")).alias("role")
     text = F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit("<|"), F.lit("< |")).alias("text")
     rows = turns.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), role, text).alias("t"))
     whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_set("t")).alias("t"))
@@ -90,7 +90,7 @@ _SPANS = """array_to_string(list_transform(list_filter(range(1, len({0}) + 1), l
        CAST(list_sum(list_transform({0}[1:i], lambda t: length(t.role) + length(t.text) + 13)) AS VARCHAR)), ',')"""
 ORACLE = f"""
 WITH d AS (
-  SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
+  SELECT DISTINCT conv_id, turn, replace(replace(coalesce(role, 'unknown'), '<|', '< |'), '|>', '| >') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
   FROM conversations WHERE conv_id IS NOT NULL
 ), w AS (
   SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, text) AS t FROM d GROUP BY conv_id

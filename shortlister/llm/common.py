@@ -1,11 +1,15 @@
-"""Helpers shared by the corpus operators: shared-folder tables, Arrow limits, vectorised text hashing."""
+"""Helpers shared by the corpus operators: shared-folder tables, Arrow batches, vectorised text hashing."""
 
 from __future__ import annotations
 
+import atexit
+import ctypes
+import hashlib
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -15,28 +19,90 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text hashed at once by one worker; a single longer text is still taken whole.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+#: Rows and bytes of an Arrow batch while a table of this package is written.
+BATCH_ROWS, BATCH_BYTES = 512, "8m"
 
 _fallback_dir: str | None = None
 _shipped: str | None = None
+#: Folders written to by this process, and the application they belong to.
+_written: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where the session names none, a temporary folder on a ``local`` master, whose executors are this machine; an error
+    on any other one.
+    """
     global _fallback_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
     if _fallback_dir is None:
         _fallback_dir = "file://" + tempfile.mkdtemp(prefix="shortlister-")
     return _fallback_dir
 
 
-def stash(df: DataFrame, *partition_by: str) -> DataFrame:
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new folder name in the shared folder; ``sweep`` and the end of the process remove what is written there."""
+    path = f"{shared_dir(spark)}/{kind}/{uuid.uuid4().hex}"
+    _written[path] = spark.sparkContext.applicationId
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def written() -> set[str]:
+    """The folders written so far and not removed."""
+    return set(_written)
+
+
+def sweep(spark: SparkSession, since: set[str], keep: str | None = None) -> None:
+    """Remove the folders written after ``written()`` gave ``since``, but one; nothing may read them any more."""
+    for path in [p for p in _written if p not in since and p != keep]:
+        _remove(spark, path)
+        del _written[path]
+
+
+@atexit.register
+def _sweep_all() -> None:
+    spark = SparkSession.getActiveSession() if _written else None
+    if spark is None:
+        return
+    try:
+        own = spark.sparkContext.applicationId
+        for path in [p for p, app in _written.items() if app == own]:
+            _remove(spark, path)
+    except Exception:  # the application has ended: its folders are the cluster's to clean
+        pass
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: str = BATCH_BYTES):
+    """Smaller Arrow batches while the block runs; the session's own settings stand again afterwards."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def stash(df: DataFrame, *partition_by: str, path: str | None = None, rows: int = BATCH_ROWS) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
+    path = path or scratch(spark, "tables")
+    with arrow_batches(spark, rows):
+        df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,19 +119,41 @@ def ship(spark: SparkSession) -> None:
         _shipped = app
 
 
-def arrow_limits(spark: SparkSession, rows: int = 512) -> None:
-    """Make Python workers ready: this package, and a bound on an Arrow batch, so that batches of long texts fit."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of so many rows at most, whatever the session's own limit is."""
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(at, rows)
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, giving memory that its task has freed back to the system: workers live on between tasks."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
 
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def free(name: str, taken: list[str]) -> str:
+    """A column name like this one that no column has yet."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name = f"_{name}"
+    return name
 
 
 def text_or_empty(name: str = "text"):
@@ -74,52 +162,70 @@ def text_or_empty(name: str = "text"):
 
 # --- hashing -------------------------------------------------------------------------------------
 
-_ODD = 0x9E3779B97F4A7C15
-_ODD_INV = pow(_ODD, -1, 1 << 64)
-_BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64)
-_LOWER = np.arange(256)
-_LOWER[65:91] += 32
-#: Random value of a byte, and of a byte after A-Z are lower-cased.
-BYTES = _BYTE
-BYTE_LOWER = _BYTE[_LOWER]
-#: The separators of words: space and the control characters 09 to 0D.
-IS_SPACE = np.zeros(256, bool)
-IS_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-
-_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
-        size = max(n, 2 * len(_powers[0]), 1 << 16)
-        tables = []
-        for base in (_ODD, _ODD_INV):
-            t = np.full(size, base, np.uint64)
-            t[0] = 1
-            tables.append(np.multiply.accumulate(t))
-        if size > 1 << 23:  # a very long text: not kept
-            return tuple(tables)
-        _powers = tuple(tables)
-    return _powers
+_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: The separators of words: space and the control characters 09 to 0D; 1 in the table.
+IS_SPACE = bytes(int(i == 0x20 or 9 <= i <= 13) for i in range(256))
+_KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: Longer spans are hashed one by one.
+_LONG = 256
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hashes of values[start:end), for many spans of one array."""
-    up, down = _power_tables(len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts])
+def lowered(raw: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z in lower case."""
+    return np.frombuffer(raw.tobytes().translate(_LOWER), np.uint8)
+
+
+class Words64:
+    """Eight bytes from any place of an array of bytes as one number; zeros follow its end."""
+
+    def __init__(self, raw: np.ndarray):
+        padded = np.zeros((len(raw) >> 3) + 3 << 3, np.uint8)
+        padded[: len(raw)] = raw
+        self.raw, self.words = raw, padded.view("<u8")
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        word, shift = places >> 3, ((places & 7) << 3).astype(np.uint64)
+        out = self.words[word] >> shift
+        out |= (self.words[word + 1] << (np.uint64(63) - shift)) << np.uint64(1)
+        return out
+
+    def heads(self, starts: np.ndarray, n: int) -> np.ndarray:
+        """The first n bytes, 8 at most."""
+        return self.at(starts) & _KEEP[n]
+
+
+def span_hashes(raw: np.ndarray | Words64, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes start:end of an array, for many spans.
+
+    Eight bytes at a time go through a bijective scrambling, so that equal lengths up to 8 never collide, and longer
+    ones only as random numbers do, whatever the text; long spans get a cryptographic hash.
+    """
+    w = raw if isinstance(raw, Words64) else Words64(raw)
+    length = ends - starts
+    h = length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h = mix64(h ^ (w.at(starts) & _KEEP[np.minimum(length, 8)]))
+    left = np.flatnonzero(length > 8)
+    if len(left):
+        for i in left[length[left] > _LONG].tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(w.raw[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+        left = left[length[left] <= _LONG]
+    done = 8
+    while len(left):
+        x = w.at(starts[left] + done) & _KEEP[np.minimum(length[left] - done, 8)]
+        h[left] = mix64(h[left] ^ x)
+        done += 8
+        left = left[length[left] > done]
+    return h
 
 
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
@@ -146,18 +252,18 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         at = to
 
 
-def word_spans(raw: np.ndarray, offsets: np.ndarray, sep: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(raw: np.ndarray, offsets: np.ndarray, sep: bytes = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of words, and each row's first word number (rows + 1 of them)."""
     n = len(raw)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~sep[raw]
+    outside = np.frombuffer(raw.tobytes().translate(sep), bool)
     first = np.zeros(n + 1, bool)
     first[offsets] = True
-    start = inside.copy()
-    start[1:] &= ~inside[:-1] | first[1:n]
-    end = inside.copy()
-    end[:-1] &= ~inside[1:] | first[1:n]
+    start = ~outside
+    end = start.copy()
+    start[1:] &= outside[:-1] | first[1:n]
+    end[:-1] &= outside[1:] | first[1:n]
     starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
     return starts, ends, np.searchsorted(starts, offsets)
 
@@ -168,7 +274,7 @@ _K = np.uint64(0xD6E8FEB86659FD93)
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int = 5) -> list[np.ndarray]:
     """Each row's sorted distinct hashes of k-word shingles; with fewer words the whole sequence as one, none without words."""
     starts, ends, first = word_spans(raw, offsets)
-    words = span_hashes(BYTE_LOWER[raw], starts, ends)
+    words = span_hashes(lowered(raw), starts, ends)
     n = max(0, len(words) - k + 1)
     acc = np.zeros(n, np.uint64)
     for i in range(k):

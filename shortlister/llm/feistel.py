@@ -8,6 +8,7 @@ index. Shard sizes differ by one at most (law ``rows``).
 
 Defined cases: a null text has no bytes and the checksum of the empty text. Rows that agree in id, checksum and size
 are interchangeable: they get neighbouring numbers in any order, so the set of returned rows is the same each time.
+Other columns may have any names; those called row_number, shard or slot are replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, mix64, shuffle_width, stash
+from .common import mix64, ship, shuffle_width, stash
 
 ROUNDS = 6
 SEED = 20240611
@@ -67,36 +68,39 @@ def row_at(positions, n: int, seed: int = SEED) -> np.ndarray:
 
 
 def numbered(rows: DataFrame, *order: str) -> tuple[DataFrame, int]:
-    """``rows`` with a gapless ``row_number`` from 0 in the given order, and their count.
+    """``row`` (a struct of all columns) with a gapless ``row_number`` from 0 in the given order, and the rows' count.
 
     The rows are dealt by ranges and sorted within them; only the ranges' row counts pass through the driver.
     """
     spark = rows.sparkSession
-    tie = F.xxhash64(F.monotonically_increasing_id())
-    dealt = rows.withColumn("_tie", tie).repartitionByRange(max(1, shuffle_width(spark)), *order, "_tie").sortWithinPartitions(*order, "_tie").drop("_tie")
-    kept = stash(dealt.withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftrightunsigned(F.col("_at"), 33).cast("int")
+    by = [F.col(f"row.`{c}`") for c in order]
+    tied = rows.select(F.struct(*(f"`{c}`" for c in rows.columns)).alias("row")).withColumn("tie", F.xxhash64(F.monotonically_increasing_id()))
+    dealt = tied.repartitionByRange(max(1, shuffle_width(spark)), *by, "tie").sortWithinPartitions(*by, "tie").select("row", F.monotonically_increasing_id().alias("at"))
+    kept = stash(dealt)
+    part = F.shiftrightunsigned(F.col("at"), 33).cast("int")
     counts = sorted((r.part, r.n) for r in kept.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
     starts, total = {}, 0
     for p, n in counts:
         starts[p] = total
         total += n
-    table = spark.createDataFrame([(p, s) for p, s in starts.items()] or [(0, 0)], "_part int, _start long")
-    out = kept.withColumn("_part", part).join(F.broadcast(table), "_part")  # a row for each range
-    return out.withColumn("row_number", F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_start", "_at"), total
+    table = spark.createDataFrame([(p, s) for p, s in starts.items()] or [(0, 0)], "part int, start long")
+    out = kept.withColumn("part", part).join(F.broadcast(table), "part")  # a row for each range
+    return out.select("row", (F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("row_number")), total
 
 
 def feistel_shards(rows: DataFrame, *order: str, shards: int = 24, seed: int = SEED) -> DataFrame:
-    """``rows`` with row_number, shard and slot."""
-    arrow_limits(rows.sparkSession, 20_000)
+    """``rows`` with row_number, shard and slot, in place of any columns of these names."""
+    ship(rows.sparkSession)
     with_number, n = numbered(rows, *order)
 
     @F.pandas_udf("long")
     def position(numbers: pd.Series) -> pd.Series:
         return pd.Series(permute(numbers.to_numpy(), n, seed))
 
-    placed = with_number.withColumn("_position", position("row_number"))
-    return placed.withColumn("shard", (F.col("_position") % shards).cast("int")).withColumn("slot", F.floor(F.col("_position") / shards).cast("long")).drop("_position")
+    new = ("row_number", "shard", "slot")
+    kept = [F.col(f"row.`{c}`") for c in rows.columns if c not in new]
+    placed = with_number.withColumn("position", position("row_number"))
+    return placed.select(*kept, "row_number", (F.col("position") % shards).cast("int").alias("shard"), F.floor(F.col("position") / shards).cast("long").alias("slot"))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

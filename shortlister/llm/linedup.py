@@ -12,8 +12,12 @@ selection, split the pair into stretches that are aligned in turn, down to equal
 neighbouring lines are common blocks. A block with at least BLOCK_WORDS words is deleted from the later document; the
 earlier document keeps it.
 
-Defined cases: a null text stays null, an empty one empty; rows without id are kept as they are; rows that repeat an id
-are treated alike. A document whose every line is deleted has an empty text. What is kept stays as it is, separators included.
+Blank lines have no words and are no part of an anchor; they go with a block that has aligned ones inside.
+
+Defined cases: a null text stays null, an empty one empty; rows without id are kept as they are. Rows that repeat an id
+with another text are aligned each with owners of a smaller id and lose only what they repeat themselves; they are not
+compared with each other, and as owners all of them count. Rows that repeat id and text are treated alike. A document
+whose every line is deleted has an empty text. What is kept stays as it is, separators included.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_LOWER, arrow_limits, chunks, mix64, span_hashes, stash, utf8, word_spans
+from .common import chunks, free, lowered, mix64, ship, slices, span_hashes, stash, trimmed, utf8, word_spans
 
 BLOCK_WORDS = 20
 #: Bytes of text whose lines are hashed at once: small, as a worker shares its executor's memory; results do not depend on it.
@@ -69,18 +73,25 @@ def _measured(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     some = b > a
     s, e = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
     s[some], e[some] = w0[a[some]], w1[b[some] - 1]
-    return span_hashes(BYTE_LOWER[raw], s, e).view(np.int64), (b - a).astype(np.int32), first
+    return span_hashes(lowered(raw), s, e).view(np.int64), (b - a).astype(np.int32), first
 
 
 def _runs(h: np.ndarray, w: np.ndarray, first: np.ndarray, block_words: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each row's shortest runs of lines with ``block_words`` words, from and to each line, each once; and each row's first one."""
+    some = np.flatnonzero(w > 0)
+    h, w, first = h[some], w[some], np.searchsorted(some, first)
     n, rows = len(h), np.repeat(np.arange(len(first) - 1), np.diff(first))
     words, at = np.r_[0, np.cumsum(w, dtype=np.int64)], np.arange(n)
     to = np.searchsorted(words, words[:-1] + block_words)
     since = np.searchsorted(words, words[1:] - block_words, "right") - 1
     ahead, behind = to <= first[rows + 1], since >= first[rows]
     starts, ends = np.concatenate((at[ahead], since[behind])), np.concatenate((to[ahead], at[behind] + 1))
-    found, row = span_hashes(mix64(h.view(np.uint64)), starts, ends).view(np.int64), rows[starts]
+    length, row = ends - starts, rows[starts]
+    found = length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for i in range(int(length.max(initial=0))):  # no run has more lines than words
+        more = np.flatnonzero(length > i)
+        found[more] = mix64(found[more] ^ h[starts[more] + i].view(np.uint64))
+    found = found.view(np.int64)
     order = np.lexsort((found, row))
     found, row = found[order], row[order]
     new = np.ones(len(found), bool)
@@ -88,7 +99,7 @@ def _runs(h: np.ndarray, w: np.ndarray, first: np.ndarray, block_words: int) ->
     return found[new], np.searchsorted(row[new], np.arange(len(first)))
 
 
-_HASHED = "doc_id long, h array<long>, w array<int>, anchors array<long>"
+_HASHED = "doc_id long, key long, h array<long>, w array<int>, anchors array<long>"
 
 
 def _hash_lines(block_words: int):
@@ -97,12 +108,13 @@ def _hash_lines(block_words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _HASHED.split(", ")]
-        for batch in batches:
-            raw, off = utf8(batch.column(1))
+        for batch in slices(batches):
+            raw, off = utf8(batch.column(2))
             for i, j in chunks(off, HASHED_BYTES):
                 h, w, first = _measured(raw[off[i] : off[j]], off[i : j + 1] - off[i])
                 anchors, afirst = _runs(h, w, first, block_words)
-                out = pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists(h, first, pa.int64()), lists(w, first, pa.int32()), lists(anchors, afirst, pa.int64())], names=names)
+                ids = [batch.column(c).slice(i, j - i) for c in range(2)]
+                out = pa.RecordBatch.from_arrays([*ids, lists(h, first, pa.int64()), lists(w, first, pa.int32()), lists(anchors, afirst, pa.int64())], names=names)
                 yield out.filter(pa.array(np.diff(afirst) > 0))
 
     return run
@@ -178,42 +190,61 @@ def blocks(a: list[int], b: list[int]) -> Iterator[tuple[int, int, int]]:
 
 def _align(block_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, places = [], []
-            for doc_id, a, b, words in zip(*(c.to_pylist() for c in batch.columns)):
+        for batch in slices(batches, 64):
+            at, places = [], []
+            for i, (a, b, words) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)))):
                 cut = [k for _, j, n in blocks(a, b) if sum(words[j : j + n]) >= block_words for k in range(j, j + n)]
                 if cut:
-                    ids.append(doc_id)
+                    at.append(i)
                     places.append(cut)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.list_(pa.int32()))], names=["doc_id", "places"])
+            ids = [batch.column(c).take(pa.array(at, pa.int64())) for c in range(2)]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(places, pa.list_(pa.int32()))], names=["doc_id", "key", "places"])
 
     return run
 
 
+def _texts(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text"))
+
+
 def deletions(documents: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, text) to doc_id, places: the line numbers from 0 that go; only documents that lose any."""
-    spark = documents.sparkSession
-    arrow_limits(spark, 128)
-    texts = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    hashed = stash(texts.mapInArrow(_hash_lines(block_words), _HASHED))
-    anchors = hashed.select("doc_id", F.explode("anchors").alias("anchor"))
+    """(doc_id, text) to doc_id, key (hash of the text), places: the line numbers from 0 that go; only rows that lose any."""
+    ship(documents.sparkSession)
+    texts = _texts(documents.where("doc_id is not null and text is not null"))
+    hashed = stash(texts.mapInArrow(trimmed(_hash_lines(block_words)), _HASHED))
+    anchors = hashed.select("doc_id", "key", F.explode("anchors").alias("anchor"))
     owned = stash(anchors.groupBy("anchor").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("anchor", "owner"))
-    pairs = anchors.join(owned, "anchor").where("doc_id <> owner").select("doc_id", "owner").distinct()
-    side = hashed.dropDuplicates(["doc_id"])
-    met = stash(pairs).join(side.select(F.col("doc_id").alias("owner"), F.col("h").alias("a")), "owner").join(side.select("doc_id", F.col("h").alias("b"), "w"), "doc_id")
-    cut = met.select("doc_id", "a", "b", "w").mapInArrow(_align(block_words), "doc_id long, places array<int>")
-    return cut.select("doc_id", F.explode("places").alias("place")).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    pairs = anchors.join(owned, "anchor").where("doc_id <> owner").select("doc_id", "key", "owner").distinct()
+    side = hashed.dropDuplicates(["doc_id", "key"])
+    met = stash(pairs).join(side.select(F.col("doc_id").alias("owner"), F.col("h").alias("a")), "owner").join(side.select("doc_id", "key", F.col("h").alias("b"), "w"), ["doc_id", "key"])
+    cut = met.select("doc_id", "key", "a", "b", "w").mapInArrow(trimmed(_align(block_words)), "doc_id long, key long, places array<int>")
+    return cut.select("doc_id", "key", F.explode("places").alias("place")).distinct().groupBy("doc_id", "key").agg(F.sort_array(F.collect_list("place")).alias("places"))
+
+
+def _flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted line numbers as flags by line, so that one look tells whether a line goes."""
+    for batch in slices(batches, 256):
+        flags = []
+        for places in batch.column(2).to_pylist():
+            own = np.zeros(places[-1] + 1, bool)
+            own[places] = True
+            flags.append(own)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(flags, pa.list_(pa.bool_()))], names=["doc_id", "key", "gone"])
 
 
 def without_repeats(documents: DataFrame, **how) -> DataFrame:
-    """``documents`` with the common blocks deleted from the texts of later documents, and the column ``removed_lines``."""
-    cut = deletions(documents, **how).select(F.col("doc_id").alias("_cut_id"), F.col("places").alias("_places"))
-    joined = documents.join(stash(cut).hint("merge"), F.col("doc_id").cast("long") == F.col("_cut_id"), "left")
-    left = F.filter(lines(F.col("text")), lambda _, i: ~F.array_contains("_places", i))
-    text = F.when(F.col("_places").isNull(), F.col("text")).otherwise(F.array_join(left, ""))
+    """``documents`` with the common blocks deleted from the texts of later documents, and the column ``removed_lines`` (in place of any of that name)."""
+    cut = stash(deletions(documents, **how).mapInArrow(_flags, "doc_id long, key long, gone array<boolean>"), rows=128)
+    cut_id, cut_key, gone = (free(x, documents.columns) for x in ("_cut_id", "_cut_key", "_gone"))
+    cut = cut.toDF(cut_id, cut_key, gone).hint("merge")
+    same = (F.col("doc_id").cast("long") == F.col(cut_id)) & (F.xxhash64(F.col("text").cast("string")) == F.col(cut_key))
+    joined = documents.join(cut, same, "left")
+    left = F.filter(lines(F.col("text")), lambda _, i: ~F.coalesce(F.get(gone, i), F.lit(False)))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(left, ""))
     if "n_chars" in documents.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("_places").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long")))
-    return joined.withColumn("text", text).withColumn("removed_lines", F.coalesce(F.size("_places"), F.lit(0)).cast("int")).select(*documents.columns, "removed_lines")
+        joined = joined.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long")))
+    removed = F.coalesce(F.size(F.filter(gone, lambda x: x)), F.lit(0)).cast("int")
+    return joined.withColumn("text", text).withColumn("removed_lines", F.when(F.col(gone).isNull(), 0).otherwise(removed)).select(*(c for c in documents.columns if c != "removed_lines"), "removed_lines")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

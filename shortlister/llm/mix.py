@@ -11,7 +11,8 @@ others by weight until no target is above its limit. A source is passed through
 passes first, then as far as the target asks; the document at that point gives only its first words.
 
 Defined cases: a null text has no words; a null source is a source of its own, last in order; a source without words
-has target 0; without any words every target is 0. Repeated rows each count.
+has target 0; without any words every target is 0. Repeated rows each count; rows that agree in all columns are
+interchangeable. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import shuffle_width, stash
 
 WORD = r"[^\x20\x09-\x0D]+"
+SPACED_WORD = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 LIMIT = 3
 
 
@@ -64,7 +67,7 @@ def curriculum_plan(documents: DataFrame, weight=default_weight, slope=default_s
     has the rest of ``taken``. One row per source passes through the driver: the mixture itself.
     """
     spark = documents.sparkSession
-    sized = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), _row_key().alias("key"))
+    sized = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), _row_key(documents).alias("key"))
     sized = stash(sized)
     sources = sized.groupBy("source").agg(F.sum("size").alias("n")).collect()
     sources.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
@@ -103,27 +106,33 @@ def curriculum_plan(documents: DataFrame, weight=default_weight, slope=default_s
 def curriculum(documents: DataFrame, **how) -> DataFrame:
     """The mix itself: the columns of ``documents``, a row for each copy, in order of training position.
 
-    The copy that the target cuts short has only its first words (with the white space between them).
+    The copy that the target cuts short has the text up to the end of its last word, white space as it was.
     """
-    names = documents.columns
-    plan = curriculum_plan(documents, **how).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("size").alias("_size"), F.col("taken").alias("_taken"), F.col("positions").alias("_positions"))
-    texts = documents.withColumn("_key", _row_key()).dropDuplicates(["_key"])
-    joined = texts.join(plan.withColumnRenamed("_key", "_k").hint("merge"), F.col("_key") == F.col("_k")).where(F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    each = joined.select(*names, "_size", "_taken", F.posexplode("_positions").alias("_copy", "_position"))
-    words = F.col("_taken") - F.col("_copy") * F.col("_size")
-    each = each.withColumn("_cut", words < F.col("_size")).withColumn("text", F.when(F.col("_cut"), first_words(F.col("text"), words)).otherwise(F.col("text")))
-    if "n_chars" in names:
-        each = each.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return each.repartitionByRange(max(1, shuffle_width(documents.sparkSession)), "_position").sortWithinPartitions("_position").select(*names)
-
-
-def _row_key() -> Column:
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    names = [f"`{c}`" for c in documents.columns]
+    plan = curriculum_plan(documents, **how).select("key", F.col("doc_id").alias("plan_id"), "size", "taken", "positions")
+    rows = documents.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("id"), _row_key(documents).alias("row_key")).dropDuplicates(["id", "row_key"])
+    joined = rows.join(plan.hint("merge"), F.col("row_key") == F.col("key")).where(F.col("id").eqNullSafe(F.col("plan_id")))
+    each = joined.select("row", "size", "taken", F.posexplode("positions").alias("copy", "position"))
+    words = F.col("taken") - F.col("copy") * F.col("size")
+    cut = words < F.col("size")
+    text = first_words(F.col("row.text"), words)
+    changed = F.col("row").withField("text", text)
+    if "n_chars" in documents.columns:
+        changed = changed.withField("n_chars", F.length(text).cast(documents.schema["n_chars"].dataType))
+    each = each.select(F.when(cut, changed).otherwise(F.col("row")).alias("row"), "position")
+    return each.repartitionByRange(max(1, shuffle_width(documents.sparkSession)), "position").sortWithinPartitions("position").select("row.*")
+
+
+def _row_key(documents: DataFrame) -> Column:
+    """A hash of all columns: rows that agree in it and the id are taken for equal."""
+    plain = (T.StringType, T.BinaryType, T.NumericType, T.BooleanType, T.DateType, T.TimestampType)
+    parts = [F.col(f"`{f.name}`") if isinstance(f.dataType, plain) else F.to_json(F.struct(f"`{f.name}`")) for f in sorted(documents.schema.fields, key=lambda f: f.name)]
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"), *parts)
 
 
 def first_words(text: Column, n: Column) -> Column:
-    """The first n words, joined by single spaces."""
-    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), n.cast("int")), " ")
+    """The text up to the end of its n-th word."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(SPACED_WORD), F.lit(0)), F.lit(1), n.cast("int")), "")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,11 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTES, arrow_limits, chunks, span_hashes, utf8, word_spans
+from .common import chunks, ship, slices, span_hashes, trimmed, utf8, word_spans
 
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 2048, 128, 2047
 POOL = 512
-_CACHE = 600_000
+#: Bits of a place in the table of known words, most token ids that it refers to, and most pieces of words kept.
+_CACHE_BITS, _FLAT, _PIECES = 20, 1 << 22, 300_000
+_PLACE = np.uint64((1 << _CACHE_BITS) - 1)
 #: What this tokenizer takes as one word before it merges bytes, after lower-casing.
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Texts with these, or with special tokens, go the long way.
@@ -41,7 +43,8 @@ _ODD = "\x1c\x1d\x1e\x1f\u180e\u200b\ufeff"
 class WordTokenizer:
     """The ids of a lower-casing tokenizer that drops white space, with a cache, by 64-bit hash, of what stands between spaces.
 
-    Gives the ids that the tokenizer's own ``encode`` gives; that is tested on whole texts.
+    Gives the ids that the tokenizer's own ``encode`` gives; that is tested on whole texts. The cache is a table of
+    fixed size: a word stands in one of two places that its hash names, and what finds both taken replaces the second.
     """
 
     def __init__(self, path: str):
@@ -58,13 +61,22 @@ class WordTokenizer:
 
     def _reset(self) -> None:
         self.piece: dict[str, bytes] = {}
-        self.index: dict[int, int] = {}
-        self.flat = np.zeros(1 << 20, np.uint32)
+        size = 1 << _CACHE_BITS
+        self.key = np.zeros(size, np.uint64)
+        self.start = np.zeros(size, np.int32)
+        self.length = np.zeros(size, np.int32)  # 0: the place is free
+        self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
-        self.start = np.zeros(1 << 18, np.int64)
-        self.length = np.zeros(1 << 18, np.int64)
 
-    def _learn(self, hashes: list[int], new: list[str]) -> None:
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Each hash's place in the table, or -1."""
+        one, two = (hashes & _PLACE).astype(np.int64), (hashes >> np.uint64(32) & _PLACE).astype(np.int64)
+        at = np.where((self.key[one] == hashes) & (self.length[one] > 0), one, two)
+        at[(self.key[at] != hashes) | (self.length[at] == 0)] = -1
+        return at
+
+    def _encoded(self, new: list[str]) -> list[bytes]:
+        """The ids of what stands between spaces, as bytes."""
         split = [_WORD.findall(w) for w in new]
         known = self.piece
         pieces = [p for p in {p for ws in split for p in ws} if p not in known]
@@ -74,17 +86,29 @@ class WordTokenizer:
             cuts = (4 * np.searchsorted(np.array(e.word_ids), np.arange(len(pieces) + 1))).tolist()
             known.update((p, data[a:b]) for p, a, b in zip(pieces, cuts, cuts[1:]))
         rows = [known[ws[0]] if len(ws) == 1 else b"".join([known[p] for p in ws]) for ws in split]
+        if len(known) > _PIECES:
+            known.clear()
+        return rows
+
+    def _learn(self, hashes: np.ndarray, rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Put words into the table; returns where their ids start, how many they are, and whether the table was emptied first."""
         sizes = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
-        total, first, n = int(sizes.sum()), len(self.index), len(new)
+        total = int(sizes.sum())
+        if emptied := self.used + total > _FLAT:
+            self._reset()
         while self.used + total > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        while first + n > len(self.start):
-            self.start, self.length = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.length))
+        starts = self.used + np.cumsum(sizes) - sizes
         self.flat[self.used : self.used + total] = np.frombuffer(b"".join(rows), np.uint32)
-        self.start[first : first + n] = self.used + np.cumsum(sizes) - sizes
-        self.length[first : first + n] = sizes
         self.used += total
-        self.index.update(zip(hashes, range(first, first + n)))
+        one, two = (hashes & _PLACE).astype(np.int64), (hashes >> np.uint64(32) & _PLACE).astype(np.int64)
+        at = np.where(self.length[one] == 0, one, two)
+        fits = sizes > 0
+        # Of words that get the same place the last one stays, in all three columns.
+        last = np.unique(at[fits][::-1], return_index=True)[1]
+        keep = np.flatnonzero(fits)[::-1][last]
+        self.key[at[keep]], self.start[at[keep]], self.length[at[keep]] = hashes[keep], starts[keep], sizes[keep]
+        return starts, sizes, emptied
 
     def ids(self, text: str) -> np.ndarray:
         return self.batch([text])[0]
@@ -113,20 +137,23 @@ class WordTokenizer:
         starts, ends, first = word_spans(raw, off)
         if not len(starts):
             return [np.zeros(0, np.uint32)] * (len(off) - 1)
-        hashes, at, which = np.unique(span_hashes(BYTES[raw], starts, ends), return_index=True, return_inverse=True)
-        keys = hashes.tolist()
-        index = self.index
-        new = [i for i, h in enumerate(keys) if h not in index]
-        if new and len(index) and len(index) + len(new) > _CACHE:
-            self._reset()
-            index, new = self.index, range(len(keys))
-        if new:
-            data, s, e = raw.tobytes(), starts[at].tolist(), ends[at].tolist()
-            self._learn([keys[i] for i in new], [data[s[i] : e[i]].decode() for i in new])
-        known = np.fromiter(map(index.__getitem__, keys), np.int64, len(keys))[which]
-        length = self.length[known]
+        hashes = span_hashes(raw, starts, ends)
+        at = self._find(hashes)
+        begin, length = self.start[at].astype(np.int64), self.length[at].astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        flat = self.flat
+        if len(new):
+            unknown, one, which = np.unique(hashes[new], return_index=True, return_inverse=True)
+            data, s, e = raw.tobytes(), starts[new[one]].tolist(), ends[new[one]].tolist()
+            rows = self._encoded([data[i:j].decode() for i, j in zip(s, e)])
+            b, n, emptied = self._learn(unknown, rows)
+            if emptied:  # words that were known still point into the old ids
+                b, flat = b + len(flat), np.concatenate((flat, self.flat))
+            else:
+                flat = self.flat
+            begin[new], length[new] = b[which], n[which]
         end = np.cumsum(length)
-        ids = self.flat[np.repeat(self.start[known] - (end - length), length) + np.arange(end[-1])]
+        ids = flat[np.repeat(begin - (end - length), length) + np.arange(end[-1])]
         return np.split(ids, np.r_[0, end][first[1:-1]])
 
 
@@ -226,7 +253,7 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, end_id: int = 1, m
     """(doc_id, text[, prompt_tokens]) to one row per piece; see the module."""
     if min(max_tokens, max_segments, max_loss) < 1:
         raise ValueError("limits are at least 1")
-    arrow_limits(documents.sparkSession, 256)
+    ship(documents.sparkSession)
     prompt = F.coalesce(F.col("prompt_tokens"), F.lit(0)).cast("int") if "prompt_tokens" in documents.columns else F.lit(0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +268,7 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, end_id: int = 1, m
             out[5] = pa.array([base + s for s in cols[5]], pa.int64())
             return pa.RecordBatch.from_arrays(out, names=[x.split()[0] for x in _OUT.split(", ")])
 
-        for batch in batches:
+        for batch in slices(batches, 256):
             docs, texts, firsts = (batch.column(i).to_pylist() for i in range(3))
             for doc, ids, first in zip(docs, tok.batch([t or "" for t in texts]), firsts):
                 packer.add(doc, np.append(ids, np.uint32(end_id)), first)
@@ -249,7 +276,7 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, end_id: int = 1, m
         packer.fill()
         yield rows()
 
-    return documents.select(F.col("doc_id").cast("long"), "text", prompt.alias("prompt")).mapInArrow(run, _OUT)
+    return documents.select(F.col("doc_id").cast("long"), "text", prompt.alias("prompt")).mapInArrow(trimmed(run), _OUT)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

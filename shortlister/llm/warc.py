@@ -4,13 +4,16 @@ Writer: pages with equal payloads of at least ``revisit_from`` bytes share one `
 page id; the others become ``revisit`` records that refer to it. A task writes one file under a name of its own attempt
 and renames it when it is whole, so a retried task replaces it with the same bytes.
 
-Reader: files are cut into byte ranges. A task looks in its range for the gzip magic, accepts a candidate member only if
-its first bytes inflate to a WARC version line, and owns the records that start inside the range, reading past the end
-of it to finish the last one. After an accepted member the search goes on behind it, so magic bytes inside a member are
-not looked at. Response payloads are checked against their digest. Archives of other writers are read, too: where a
-record has no X-Payload-Length or no SHA-1 payload digest, size and digest are those of the payload; a revisit without
-them has null. The payload of a response is what follows the HTTP headers of an HTTP block, otherwise and in records of
-other types the whole block. A member that begins as a WARC record but is damaged or ends early raises ValueError.
+Reader: files are cut into byte ranges. A task looks in its range for the gzip magic and decodes candidate members: one
+counts if it inflates to its end as a WARC record with a whole header block and the length that it names, and if further
+such members follow, each at the end of the one before, to the end of the file or for more than 65,535 bytes. No chain
+inside a payload goes on that long: its bytes stand as they are only in a stored block of the outer member, which holds
+no more. The task owns the records that start inside its range, reads past its end to finish the last one, and follows
+the chain as far again behind it, so that a damaged or missing member in the chain raises ValueError in one task or
+another and is never skipped. Response payloads are checked against their digest. Archives of other writers are read,
+too: where a record has no X-Payload-Length or no SHA-1 payload digest, size and digest are those of the payload; a
+revisit without them has null. The payload of a response is what follows the HTTP headers of an HTTP block, otherwise and
+in records of other types the whole block.
 
 Defined cases: a null payload is empty and a ``response``; a null page id or URL is left out of the record and read as
 null. Rows that repeat the largest id of equal payloads are all responses; if all their ids are null, all are. Control
@@ -32,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, shared_dir, shuffle_width, stash
+from .common import scratch, ship, shuffle_width, slices, stash, trimmed
 
 REVISIT_FROM = 1000
 SPLIT_BYTES = 4 << 20
@@ -42,6 +45,8 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.UUID("8c0bfa0e-5a67-4a0b-9a3e-0f6f6c1a7d10")
 _READ = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 _CHUNK = 1 << 18
+#: The most bytes that deflate stores in a block.
+_STORED = 65_535
 
 
 def _file(path: str) -> tuple[pafs.FileSystem, str]:
@@ -103,7 +108,7 @@ def parse(data: bytes) -> tuple:
 def write_warc(pages: DataFrame, folder: str, revisit_from: int = REVISIT_FROM) -> DataFrame:
     """Write (page_id, url, html) to ``folder``, at once; returns path, records, bytes for each file."""
     spark = pages.sparkSession
-    arrow_limits(spark, 256)
+    ship(spark)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
     large = rows.select("page_id", F.octet_length("payload").alias("n"), F.sha1("payload").alias("digest")).where(F.col("n") >= revisit_from)
@@ -120,7 +125,7 @@ def write_warc(pages: DataFrame, folder: str, revisit_from: int = REVISIT_FROM)
         task = TaskContext.get()
         name, count, size, out = f"part-{task.partitionId():06d}.warc.gz", 0, 0, None
         draft = f"{top}/_{name}.{task.taskAttemptId()}"
-        for batch in batches:
+        for batch in slices(batches, 256):
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
                     fs.create_dir(top, recursive=True)
@@ -132,11 +137,24 @@ def write_warc(pages: DataFrame, folder: str, revisit_from: int = REVISIT_FROM)
             fs.move(draft, f"{top}/{name}")
             yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": [count], "bytes": [size]})
 
-    return stash(rows.select("page_id", "url", "payload", "refers_to").mapInArrow(run, "path string, records long, bytes long"))
+    return stash(rows.select("page_id", "url", "payload", "refers_to").mapInArrow(trimmed(run), "path string, records long, bytes long"))
 
 
 def records_in(source, start: int, end: int) -> Iterator[bytes]:
     """Inflated records whose gzip member starts in [start, end) of a random-access file."""
+    at = _boundary(source, start, end)
+    if at is None:
+        return
+    while at < end and (found := _member(source, at, whole=True)):
+        yield found[0]
+        at += found[1]
+    seen = 0
+    while seen <= _STORED and (found := _member(source, at, whole=True)):
+        at, seen = at + found[1], seen + found[1]
+
+
+def _boundary(source, start: int, end: int) -> int | None:
+    """The first member in [start, end) that a chain of records begins with."""
     at = start
     while at < end:
         source.seek(at)
@@ -146,39 +164,70 @@ def records_in(source, start: int, end: int) -> Iterator[bytes]:
             at += max(1, len(window) - len(_MAGIC) + 1)
             continue
         at += hit
-        size = _member(source, at)
-        if size is None:
-            at += 1
-            continue
-        data, length = size
-        yield data
-        at += length
+        # Nothing precedes the first byte of a file: what begins as a record there is one.
+        if at == 0 and _begins(source, 0) or _chained(source, at):
+            return at
+        at += 1
+    return None
+
+
+def _chained(source, at: int) -> bool:
+    """Whether records follow one another from here to the end of the file, or further than a stored block can hold."""
+    seen = 0
+    try:
+        while seen <= _STORED:
+            found = _member(source, at, whole=bool(seen))
+            if found is None:
+                return seen > 0
+            at, seen = at + found[1], seen + found[1]
+    except ValueError:
+        return False
+    return True
+
 
+def _member(source, at: int, whole: bool) -> tuple[bytes, int] | None:
+    """The inflated record at an offset and its member's length.
 
-def _member(source, at: int) -> tuple[bytes, int] | None:
-    """The inflated member at an offset and its length, or None if it doesn't begin as a WARC record."""
+    None at the end of the file and, unless ``whole``, if no record begins here; otherwise ValueError.
+    """
     inflate, out, read = zlib.decompressobj(31), [], 0
     source.seek(at)
-    begun = False
     while not inflate.eof:
-        piece = source.read(_CHUNK if begun else 4096)
+        piece = source.read(_CHUNK if out else 4096)
+        if not piece and not read:
+            return None
         try:
             if not piece:
                 raise zlib.error("the file ends within it")
             data = inflate.decompress(piece)
         except zlib.error as e:
-            if begun or _begins(source, at):
-                raise ValueError(f"damaged WARC member at byte {at}: {e}") from e
-            return None
+            if not whole and not out:
+                return None
+            raise ValueError(f"damaged WARC member at byte {at}: {e}") from e
         read += len(piece)
-        out.append(data)
-        if not begun and not (begun := data.startswith(b"WARC/")):
+        if not out and data and not data.startswith(b"WARC/"[: len(data)]) and not whole:
+            return None
+        out += [data] if data else []
+    record = b"".join(out)
+    if not _whole_record(record):
+        if not whole and not record.startswith(b"WARC/"):
             return None
-    return b"".join(out), read - len(inflate.unused_data)
+        raise ValueError(f"no whole WARC record at byte {at}")
+    return record, read - len(inflate.unused_data)
+
+
+def _whole_record(data: bytes) -> bool:
+    """Whether the header block is one and the block is as long as it says."""
+    head, gap, rest = data.partition(b"\r\n\r\n")
+    lines = head.split(b"\r\n")
+    if not gap or not re.fullmatch(rb"WARC/\d+\.\d+", lines[0].strip()) or not all(b":" in x or x[:1] in b" \t" for x in lines[1:] if x):
+        return False
+    length = next((x.partition(b":")[2].strip() for x in lines[1:] if x.lower().startswith(b"content-length")), b"")
+    return length.isdigit() and len(rest) >= int(length)
 
 
 def _begins(source, at: int) -> bool:
-    """Whether what inflates of the first bytes of a damaged member begins as a WARC record."""
+    """Whether what inflates of the first bytes of a member begins as a WARC record."""
     source.seek(at)
     inflate, out = zlib.decompressobj(31), b""
     try:
@@ -196,7 +245,7 @@ def read_warc(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES)
 
     ``payload`` is null for a revisit; its size and digest are those of the full payload, as far as the record has them.
     """
-    arrow_limits(spark, 256)
+    ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path", "length").where("length > 0")
     ranges = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split_bytes).cast("long"))).alias("start"), "length")
     ranges = ranges.select("path", "start", F.least(F.col("start") + split_bytes, "length").alias("end")).repartition(shuffle_width(spark), "path", "start")
@@ -204,7 +253,7 @@ def read_warc(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
         names = [x.split()[0] for x in _READ.split(", ")]
-        for batch in batches:
+        for batch in slices(batches, 16):
             for path, start, end in zip(*(c.to_pylist() for c in batch.columns)):
                 fs, name = _file(path)
                 with fs.open_input_file(name) as source:
@@ -217,11 +266,11 @@ def read_warc(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES)
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
-    return ranges.mapInArrow(run, _READ)
+    return ranges.mapInArrow(trimmed(run), _READ)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_dir(spark).rstrip('/')}/warc/{uuid.uuid4().hex}"
+    folder = scratch(spark, "warc")
     written = write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
     if written.isEmpty():
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")

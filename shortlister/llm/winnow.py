@@ -26,16 +26,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, mix64, shuffle_width, span_hashes, text_or_empty
+from .common import mix64, ship, shuffle_width, slices, text_or_empty, trimmed
 
 GRAM = 16
 WINDOW = 64
 LEAST_WINDOW = 4
 _HASH_BITS = 40
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64((1 << 24) - 1)
 _CODE = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 1 << 12, dtype=np.uint64)
 
 
+def _grams(points: np.ndarray, k: int) -> np.ndarray:
+    """Rolling hashes of each k neighbouring code points, or of all if there are fewer.
+
+    A polynomial modulo 2 ** 64 over scrambled code points, cut to its upper bits after a scrambling; the windows are
+    far too short for two of them to agree by construction.
+    """
+    values = _CODE[points & 0xFFF] + points.astype(np.uint64)
+    k, m, acc = min(k, len(values)), 1, values
+    for bit in f"{k:b}"[1:]:  # twice the length, and one more
+        acc = acc[:-m] * np.uint64(pow(int(_BASE), m, 1 << 64)) + acc[m:]
+        m *= 2
+        if bit == "1":
+            acc = acc[:-1] * _BASE + values[m : m + len(acc) - 1]
+            m += 1
+    return mix64(acc) >> np.uint64(64 - _HASH_BITS)
+
+
 def _sliding_choice(key: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each window of w, from the running minima of blocks of w in both directions."""
     n = len(key) - w + 1
@@ -57,9 +75,7 @@ def winnow(points: np.ndarray, k: int = GRAM, w: int | None = None) -> tuple[np.
     w = window_of(n) if w is None else w
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    values = _CODE[points & 0xFFF] + points.astype(np.uint64)
-    starts = np.arange(max(1, n - k + 1))
-    grams = span_hashes(values, starts, np.minimum(starts + k, n)) >> np.uint64(64 - _HASH_BITS)
+    grams = _grams(points, k)
     out_hash, out_at = [], []
     step = int(_LOW) - w
     for at in range(0, len(grams), step):  # blocks that overlap by w - 1, so that a position fits its bits
@@ -93,21 +109,6 @@ def likeness(x: np.ndarray, y: np.ndarray) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def fingerprints(documents: DataFrame, k: int = GRAM, w: int | None = None) -> DataFrame:
-    """(doc_id, text) to doc_id, hashes (array of long), positions (array of int)."""
-    arrow_limits(documents.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [winnow(_points(t or ""), k, w) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([h.astype(np.int64) for h, _ in found], pa.list_(pa.int64())), pa.array([p.astype(np.int32) for _, p in found], pa.list_(pa.int32()))], names=["doc_id", "hashes", "positions"])
-
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, hashes array<long>, positions array<int>")
-
-
-_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-
-
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -131,7 +132,7 @@ def _compare(k: int, w: int | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, at = None, None
-        for batch in batches:
+        for batch in slices(batches, 128):
             out = []
             for part, borrowed, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 own = winnow(_points(text), k, w)
@@ -143,41 +144,71 @@ def _compare(k: int, w: int | None):
     return run
 
 
+class _Ranges:
+    """Ranges of ids in descending order, nulls last; an id that fills several ranges has them by parts of the tie's values."""
+
+    def __init__(self, quantiles: list[float], nulls: int):
+        at, times = np.unique(np.array(quantiles, np.float64).astype(np.int64), return_counts=True)
+        self.at, self.times = at, np.where(times > 1, times, 0)
+        # From the highest id downwards: what is above the last point, then each point's own ranges and what is below it.
+        self.region, self.own = np.zeros(len(at) + 1, np.int64), np.zeros(len(at), np.int64)
+        n = 1
+        for j in range(len(at) - 1, -1, -1):
+            self.own[j] = n
+            self.region[j] = n + self.times[j]
+            n += self.times[j] + 1
+        self.nulls, self.first_null, self.count = max(1, nulls), n, int(n) + max(1, nulls)
+
+    def part(self, ids: pd.Series, ties: np.ndarray) -> np.ndarray:
+        upper = (ties.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)
+        known = ids.notna().to_numpy()
+        out = self.first_null + (upper * np.uint64(self.nulls) >> np.uint64(32)).astype(np.int64)
+        x = ids[known].astype("int64").to_numpy()
+        j = np.searchsorted(self.at, x, "left")
+        part = self.region[j]
+        if len(self.at):
+            i = np.minimum(j, len(self.at) - 1)
+            own = (self.at[i] == x) & (self.times[i] > 0)
+            part[own] = (self.own[i] + (upper[known] * self.times[i].astype(np.uint64) >> np.uint64(32)).astype(np.int64))[own]
+        out[known] = part
+        return out
+
+
 def edited_likeness(documents: DataFrame, k: int = GRAM, w: int | None = None) -> DataFrame:
     """Each document's fingerprint, that of its edited text, and its likeness to this and to the next document.
 
     The next document is the one with the next smaller id (null ids come last; equal ids by a hash of the text, then
     the text); after the last one the first. The edited text has the last third (rounded down) of the code points
-    replaced by as many first ones of the next document, or all of them. The texts are dealt by ranges of ids and
-    sorted within a range, and the first row of each range goes to the range before as well, so that a document meets
-    the next one in its own task. Only one id and hash of each range pass through the driver.
+    replaced by as many first ones of the next document, or all of them. The texts are dealt by ranges of ids (and of
+    the hash, where many rows share an id or have none) and sorted within a range, and the first row of each range goes
+    to the range before as well, so that a document meets the next one in its own task. Only one id and hash of each
+    range pass through the driver.
     """
     spark = documents.sparkSession
-    arrow_limits(spark, 128)
+    ship(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     parts = max(1, shuffle_width(spark))
-    points = np.unique(np.array(docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts), dtype=np.float64).astype(np.int64)) if parts > 1 else np.zeros(0, np.int64)
-    last_part = len(points)
+    counted = docs.agg(F.count("*").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("none")).first()
+    known = max(1, round(parts * (1 - counted.none / max(1, counted.n))))
+    points = docs.approxQuantile("doc_id", [i / known for i in range(1, known)], 0.2 / known) if known > 1 else []
+    ranges = _Ranges(points, round(parts * counted.none / max(1, counted.n)))
 
     @F.pandas_udf("int")
-    def part_of(ids: pd.Series) -> pd.Series:
-        known = ids.notna()
-        out = np.full(len(ids), last_part, np.int32)
-        out[known] = last_part - np.searchsorted(points, ids[known].astype("int64"), "left")
-        return pd.Series(out)
+    def part_of(ids: pd.Series, ties: pd.Series) -> pd.Series:
+        return pd.Series(ranges.part(ids, ties.to_numpy()).astype(np.int32))
 
-    docs = docs.select(part_of("doc_id").alias("part"), "doc_id", F.xxhash64("text").alias("tie"), "text")
+    docs = docs.withColumn("tie", F.xxhash64("text")).select(part_of("doc_id", "tie").alias("part"), "doc_id", "tie", "text")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), (-F.coalesce("doc_id", F.lit(0)).cast("decimal(20,0)")).alias("neg"), F.col("tie"))).alias("first")
     heads = sorted((r.part, r.first) for r in docs.groupBy("part").agg(first).collect())
     if not heads:
         return spark.createDataFrame([], _OUT)
     before = {part: heads[i - 1][0] for i, (part, _) in enumerate(heads)}
     table = spark.createDataFrame([(part, None if x.none else -int(x.neg), x.tie, before[part]) for part, x in heads], "part int, head long, tie long, before int")
-    table = F.broadcast(table)  # a row for each range, at most as many as shuffle partitions
+    table = F.broadcast(table)  # a row for each range
     lent = docs.join(table, ["part", "tie"]).where(F.col("doc_id").eqNullSafe(F.col("head"))).select(F.col("before").alias("part"), F.lit(True).alias("borrowed"), "doc_id", "tie", "text")
     both = docs.select("part", F.lit(False).alias("borrowed"), "doc_id", "tie", "text").union(lent)
-    dealt = both.repartition(parts, "part").sortWithinPartitions("part", "borrowed", F.col("doc_id").desc_nulls_last(), "tie", "text")
-    return dealt.select("part", "borrowed", "doc_id", "text").mapInArrow(_compare(k, w), _OUT)
+    dealt = both.repartitionById(ranges.count, "part").sortWithinPartitions("part", "borrowed", F.col("doc_id").desc_nulls_last(), "tie", "text")
+    return dealt.select("part", "borrowed", "doc_id", "text").mapInArrow(trimmed(_compare(k, w)), _OUT)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,7 +222,9 @@ def brute_winnow(text: str, k: int = GRAM, w: int = WINDOW) -> list[int]:
         return []
     n = max(1, len(points) - k + 1)
     values = _CODE[points & 0xFFF] + points.astype(np.uint64)
-    hashes = [int(span_hashes(values, np.array([i]), np.array([min(i + k, len(points))]))[0]) >> (64 - _HASH_BITS) for i in range(n)]
+    powers = [pow(int(_BASE), i, 1 << 64) for i in range(k)][::-1][-min(k, len(points)) :]
+    sums = [sum(int(v) * p for v, p in zip(values[i : i + k], powers)) % (1 << 64) for i in range(n)]
+    hashes = [int(mix64(np.array([x], np.uint64))[0]) >> (64 - _HASH_BITS) for x in sums]
     out = []
     for i in range(max(1, n - w + 1)):
         window = range(i, min(i + w, n))

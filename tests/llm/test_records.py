@@ -103,7 +103,7 @@ def test_top_k_is_exact(spark, seed):
     rows = [(i, [float(x) for x in x], "c") for i, x in enumerate(v)]
     rows += [(200, None, "c"), (201, [1.0, None], "c"), (202, [float("nan")] * 12, "c"), (203, [float("inf")] * 12, "c"), (204, [], "c"), (None, [1.0] * 12, "c"), (205, [1.0, 2.0], "c"), (210, [1.0, 3.0], "c")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, block string")
-    vectors = topk.integer_vectors(df)
+    vectors = topk.finite_vectors(df)
     got = {(x.query_id, x.rank): (x.vec_id, x.score) for x in topk.exact_top_k(vectors, vectors.where("id % 5 = 0"), 5, 32, 4).collect()}
     ints = {i: np.floor(256 * np.array(x)).astype(int) for i, x, _ in rows if i is not None and x and all(y is not None and np.isfinite(y) for y in x)}
     want = {}

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from shortlister.llm import jaccard, linedup, mix, pack, toxicity
-from shortlister.llm.common import stash
+from shortlister.llm.common import scratch, stash, sweep, written
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,6 +52,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces of the documents under ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = written()
     for _, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir))
+        path = scratch(spark, "stages")
+        docs = stash(stage(spark, docs, sf_dir), path=path)
+        sweep(spark, before, keep=path)  # what the stage wrote on its way, and the table that it read
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -109,10 +109,15 @@ def curriculum(documents: DataFrame, **how) -> DataFrame:
     The copy that the target cuts short has the text up to the end of its last word, white space as it was.
     """
     names = [f"`{c}`" for c in documents.columns]
-    plan = curriculum_plan(documents, **how).select("key", F.col("doc_id").alias("plan_id"), "size", "taken", "positions")
-    rows = documents.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("id"), _row_key(documents).alias("row_key")).dropDuplicates(["id", "row_key"])
-    joined = rows.join(plan.hint("merge"), F.col("row_key") == F.col("key")).where(F.col("id").eqNullSafe(F.col("plan_id")))
-    each = joined.select("row", "size", "taken", F.posexplode("positions").alias("copy", "position"))
+    plan = curriculum_plan(documents, **how)
+    entries = plan.groupBy("key").agg(F.collect_list(F.struct(F.col("doc_id").alias("plan_id"), "size", "taken", "positions")).alias("entries"))
+    rows = documents.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("id"), _row_key(documents).alias("row_key"))
+    joined = rows.join(entries.hint("merge"), F.col("row_key") == F.col("key"))
+    # Of equal rows each takes one of their entries in the plan; the join has brought them together already.
+    nth = F.row_number().over(Window.partitionBy("row_key", "id").orderBy("row_key"))
+    own = F.filter("entries", lambda e: e["plan_id"].eqNullSafe(F.col("id")))
+    one = joined.withColumn("nth", nth).withColumn("entry", F.element_at(own, F.col("nth"))).select("row", "entry.*")
+    each = one.select("row", "size", "taken", F.posexplode("positions").alias("copy", "position"))
     words = F.col("taken") - F.col("copy") * F.col("size")
     cut = words < F.col("size")
     text = first_words(F.col("row.text"), words)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators.ranking import folds, pooled_scores, slot_scores, with_rank
+from .tables import once
 
 SPLITS = ("I1", "I2", "I3")
 
@@ -42,32 +43,53 @@ def tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("id", F.concat(F.col("category"), F.lit("__svc"), F.col("service").cast("string"), F.lit("__api"), F.col("tool_idx").cast("string")))
 
 
+def _once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    return once(spark, name, [f"{sf_dir}/embeddings.parquet"], build)
+
+
+def dots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """split, query_id, q_ord, tool_idx, slot, label, d: the one product of queries and catalogue, written once."""
+    return _once(spark, sf_dir, "dots", lambda: slot_scores(queries(spark, sf_dir), slots(spark, sf_dir)))
+
+
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """split, query_id, q_ord, tool_idx, s_multi, s_single, is_gold: planted gold by rank of the single score."""
-    pooled = pooled_scores(slot_scores(queries(spark, sf_dir), slots(spark, sf_dir)), "split", "query_id", "q_ord")
-    r, o = F.col("rk0"), F.col("q_ord")
-    gold = F.when(F.col("split") == "I1", r == 1 + (o * 7) % 11).when(F.col("split") == "I2", (r == 1 + (o * 7) % 2) | (r == 3 + (o * 5) % 3)).otherwise((r <= 2) | (r == 3 + o % 2))
-    return with_rank(pooled, "s_single", "query_id", name="rk0").withColumn("is_gold", gold).drop("rk0")
+
+    def build() -> DataFrame:
+        pooled = pooled_scores(dots(spark, sf_dir), "split", "query_id", "q_ord")
+        r, o = F.col("rk0"), F.col("q_ord")
+        gold = F.when(F.col("split") == "I1", r == 1 + (o * 7) % 11).when(F.col("split") == "I2", (r == 1 + (o * 7) % 2) | (r == 3 + (o * 5) % 3)).otherwise((r <= 2) | (r == 3 + o % 2))
+        return with_rank(pooled, "s_single", "query_id", name="rk0").withColumn("is_gold", gold).drop("rk0")
+
+    return _once(spark, sf_dir, "scores", build)
 
 
 def real_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, category, p: share of the ten nearest slots; some queries have none."""
-    d = slot_scores(queries(spark, sf_dir), slots(spark, sf_dir)).where("q_ord % 17 <> 16")
+    d = dots(spark, sf_dir).where("q_ord % 17 <> 16")
     near = d.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("d"), "tool_idx", "slot"))).where("n <= 10")
     return near.groupBy("query_id", F.concat(F.lit("cat"), F.col("label").cast("string")).alias("category")).agg((F.count("*") / 10).alias("p"))
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores with category, service, fold, oracle prior ``p_oracle`` and classifier prior ``p_real``."""
-    s = scores(spark, sf_dir).join(tools(spark, sf_dir), "tool_idx")
-    gold = F.max(F.col("is_gold").cast("double")).over(Window.partitionBy("query_id", "category"))
-    s = s.withColumn("p_oracle", gold).join(folds(queries(spark, sf_dir)), ["split", "query_id"])
-    real = real_prior(spark, sf_dir)
-    return s.join(real.withColumnRenamed("p", "p_real"), ["query_id", "category"], "left").fillna(0.0, ["p_real"])
+
+    def build() -> DataFrame:
+        s = scores(spark, sf_dir).join(tools(spark, sf_dir), "tool_idx")
+        gold = F.max(F.col("is_gold").cast("double")).over(Window.partitionBy("query_id", "category"))
+        s = s.withColumn("p_oracle", gold).join(folds(queries(spark, sf_dir)), ["split", "query_id"])
+        real = real_prior(spark, sf_dir)
+        return s.join(real.withColumnRenamed("p", "p_real"), ["query_id", "category"], "left").fillna(0.0, ["p_real"])
+
+    return _once(spark, sf_dir, "base", build)
 
 
 def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, user_id, event_type, split, query_id, gen, candidates, gold: texts with calls made from events."""
+    return once(spark, "generated", [f"{sf_dir}/{t}.parquet" for t in ("embeddings", "events")], lambda: _generated(spark, sf_dir))
+
+
+def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = with_rank(scores(spark, sf_dir), "s_multi", "query_id").join(tools(spark, sf_dir), "tool_idx")
     cand = F.struct("rk", "id", F.regexp_replace("id", "[^A-Za-z0-9_-]", "_").alias("name"))
     per = top.groupBy("split", "query_id", "q_ord").agg(F.array_sort(F.collect_list(F.when(F.col("rk") <= 10, cand))).alias("candidates"), F.array_sort(F.collect_list(F.when(F.col("is_gold"), F.col("id")))).alias("gold"))

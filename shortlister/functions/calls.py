@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,37 +22,64 @@ def sanitize(name: Column) -> Column:
     return F.regexp_replace(name, "[^A-Za-z0-9_-]", "_")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def blocks(text: Column) -> Column:
     """The marked blocks; without any, the whole text if it has a function."""
-    marked = F.regexp_extract_all(text, F.lit(BLOCK), F.lit(1))
-    return F.when(F.size(marked) > 0, marked).when(text.rlike(FUNCTION), F.array(text)).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    return let(F.regexp_extract_all(text, F.lit(BLOCK), F.lit(1)), lambda marked: F.when(F.size(marked) > 0, marked).when(text.rlike(FUNCTION), F.array(text)).otherwise(none))
 
 
 def _last_of_each(pairs: Column) -> Column:
     """A map in which a later entry replaces an earlier one of the same key."""
-    keys = F.transform(pairs, lambda p: p["k"])
-    last = F.filter(pairs, lambda p, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), p["k"]))
-    return F.map_from_entries(last)
+    in_order = F.array_sort(F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), i.alias("i"), p["v"].alias("v"))))
+
+    def last(rows: Column) -> Column:
+        following = F.slice(rows, F.lit(2), F.size(rows))
+        kept = F.zip_with(rows, following, lambda x, y: F.when(~x["k"].eqNullSafe(y["k"]), F.struct(x["k"].alias("k"), x["v"].alias("v"))))
+        return F.map_from_entries(F.filter(kept, lambda x: x.isNotNull()))
+
+    return let(in_order, last)
+
+
+def _opened(element: Column, tag: str, found: Callable[[Column, Column], Column]) -> Column:
+    """``found`` of the name in an opening tag and what stands between it and the closing one."""
+    head = F.substring_index(element, ">", 1)
+    name = F.regexp_replace(F.substr(head, F.lit(len(tag) + 3)), r"\s+$", "")
+    body = F.substr(element, F.length(head) + 2, F.length(element) - F.length(head) - len(tag) - 4)
+    return found(name, body)
 
 
 def xml_call(block: Column) -> Column:
     """name and arguments of the first function in a block, or null."""
-    body = F.regexp_extract(block, FUNCTION, 2)
-    names, values = (F.regexp_extract_all(body, F.lit(PARAMETER), F.lit(i)) for i in (1, 2))
-    pairs = F.zip_with(names, values, lambda k, v: F.struct(k.alias("k"), F.regexp_replace(v, r"^\s+|\s+$", "").alias("v")))
-    return F.when(block.rlike(FUNCTION), F.struct(F.regexp_extract(block, FUNCTION, 1).alias("name"), _last_of_each(pairs).alias("args")))
+
+    def pair(element: Column) -> Column:
+        return _opened(element, "parameter", lambda k, v: F.struct(k.alias("k"), F.regexp_replace(v, r"^\s+|\s+$", "").alias("v")))
+
+    def call(name: Column, body: Column) -> Column:
+        return F.struct(name.alias("name"), _last_of_each(F.transform(F.regexp_extract_all(body, F.lit(PARAMETER), F.lit(0)), pair)).alias("args"))
+
+    return let(F.regexp_extract(block, FUNCTION, 0), lambda whole: F.when(whole != "", _opened(whole, "function", call)))
 
 
 def json_call(block: Column) -> Column:
     """name and arguments of a JSON object with a name, or null; arguments that are no object stand under ``_value``."""
-    parsed = F.try_parse_json(block)
-    name = F.try_variant_get(parsed, "$.name", "string")
-    args = F.try_variant_get(parsed, "$.arguments", "map<string,string>")
-    raw = F.try_variant_get(parsed, "$.arguments", "string")
-    inner = F.from_json(raw, "map<string,string>")
-    # A string may hold an object itself.
-    coerced = F.coalesce(args, F.when(raw.startswith("{") & F.try_parse_json(raw).isNotNull(), inner), F.when(raw.isNotNull(), F.create_map(F.lit("_value"), raw)), F.create_map().cast("map<string,string>"))
-    return F.when(name.isNotNull(), F.struct(name.alias("name"), coerced.alias("args")))
+
+    def call(parsed: Column) -> Column:
+        name = F.try_variant_get(parsed, "$.name", "string")
+        args = F.try_variant_get(parsed, "$.arguments", "map<string,string>")
+
+        def coerced(raw: Column) -> Column:
+            # A string may hold an object itself.
+            inner = F.when(raw.startswith("{") & F.try_parse_json(raw).isNotNull(), F.from_json(raw, "map<string,string>"))
+            return F.coalesce(inner, F.when(raw.isNotNull(), F.create_map(F.lit("_value"), raw)), F.create_map().cast("map<string,string>"))
+
+        return F.when(name.isNotNull(), F.struct(name.alias("name"), F.coalesce(args, let(F.try_variant_get(parsed, "$.arguments", "string"), coerced)).alias("args")))
+
+    return let(F.try_parse_json(block), call)
 
 
 def coercible(value: Column, kind: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +16,12 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def dot_of(a: Column, b: Column, dims: int) -> Column:
+    """``dot`` of vectors of a known length, as one compiled expression; null if one is shorter."""
+    terms = [F.get(a, F.lit(i)) * F.get(b, F.lit(i)) for i in range(dims)]
+    return reduce(add, terms, F.lit(0.0))
+
+
 def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 

@@ -16,9 +16,10 @@ def parsed(generated: DataFrame) -> DataFrame:
 
     ok: all blocks parse; malformed: a block does not, though the others count; no_call: no block and no function.
     """
-    with_blocks = generated.withColumn("_b", fc.blocks(F.col("gen")))
+    # One row each, so that what the columns below name is computed once.
+    with_blocks = generated.withColumn("_b", F.explode(F.array(fc.blocks(F.col("gen")))))
     calls = F.transform("_b", lambda b: F.coalesce(fc.xml_call(b), fc.json_call(b)))
-    out = with_blocks.withColumn("_c", calls).withColumn("n_blocks", F.size("_b")).withColumn("calls", F.filter("_c", lambda c: c.isNotNull()))
+    out = with_blocks.withColumn("_c", F.explode(F.array(calls))).withColumn("n_blocks", F.size("_b")).withColumn("calls", F.filter("_c", lambda c: c.isNotNull()))
     status = F.when(F.col("n_blocks") == 0, "no_call").when(F.size("calls") < F.col("n_blocks"), "malformed").otherwise("ok")
     return out.withColumn("gen_status", status).drop("_b", "_c")
 
@@ -42,7 +43,7 @@ def score(records: DataFrame) -> DataFrame:
     at = lambda name: F.size(F.col("candidates")) - F.array_position(F.reverse(cand_names), name)
     known = F.filter("calls", lambda c: F.array_contains(cand_names, c["name"]))
     called = F.transform(known, lambda c: F.struct(F.element_at(cand_ids, (at(c["name"]) + 1).cast("int")).alias("id"), c["args"].alias("args")))
-    r = records.withColumn("called", called).withColumn("ids", F.transform("called", lambda c: c["id"]))
+    r = records.withColumn("called", F.explode(F.array(called))).withColumn("ids", F.transform("called", lambda c: c["id"]))
     n, gold = F.size("ids"), F.col("gold")
     right = F.size(F.filter("ids", lambda i: F.array_contains(gold, i)))
     func = F.when(F.col("split") == "I1", (right > 0).cast("double")).when(n == 0, 0.0).otherwise(right / n)
@@ -54,7 +55,7 @@ def score(records: DataFrame) -> DataFrame:
         "exact_match": ((n > 0) & ~outside(F.col("ids"), gold) & done & (F.size("calls") == n)).cast("double"),
     })
     gold_valid = F.transform(F.filter("called", lambda c: F.array_contains(gold, c["id"])), lambda c: valid_call(c["args"])["valid"].cast("double"))
-    r = r.withColumn("_v", gold_valid)
+    r = r.withColumn("_v", F.explode(F.array(gold_valid)))
     mean = F.when(F.size("_v") > 0, F.aggregate("_v", F.lit(0.0), lambda s, x: s + x) / F.size("_v"))
     r = r.withColumn("args_valid", mean).withColumn("strict_success", F.coalesce(((F.col("exact_match") == 1) & (F.col("args_valid") == 1)).cast("double"), F.lit(0.0)))
     excerpt = F.when(F.col("gen_status") != "ok", F.substring("gen", 1, 1500))

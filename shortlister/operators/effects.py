@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import FLOOR, fused_add, fused_mult
-from .ranking import with_rank, worst_gold
+from .fusion import gold_ranks
 
 
 def mcnemar_p(improved: Column, worsened: Column) -> Column:
@@ -31,9 +31,10 @@ def sweep(base: DataFrame, method: str, values: tuple[float, ...], k: int) -> Da
     spark = base.sparkSession
     grid = F.broadcast(spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "pos int, value double"))  # a few rows
     z = base.groupBy("split").agg(F.avg("s").alias("mean"), F.stddev_pop("s").alias("std")).withColumn("std", F.when(F.col("std") > FLOOR, F.col("std")).otherwise(1.0))
-    tried = base.join(F.broadcast(z), "split").crossJoin(grid)  # z: a row for each split
     f = fused_add(F.col("s"), F.col("mean"), F.col("std"), F.col("p"), F.lit(1.0), F.col("value")) if method == "add" else fused_mult(F.col("s"), F.col("p"), F.col("value"))
-    worst = worst_gold(with_rank(tried.withColumn("f", f), "f", "split", "query_id", "pos"), "split", "query_id", "pos", "value")
+    above = gold_ranks(base, z.join(grid), ["pos"], f)
+    queries = base.select("split", "query_id").distinct().join(grid)
+    worst = queries.join(above, ["split", "query_id", "pos"], "left").withColumn("maxgold", F.coalesce(F.col("above") + 1, F.lit(-1)))
     first = F.first("maxgold").over(Window.partitionBy("split", "query_id").orderBy("pos"))
     m, b = F.col("maxgold"), F.col("base")
     hit, hit0 = m <= k, b <= k

@@ -1,12 +1,11 @@
-"""Fusing semantic scores with category priors, with coefficients chosen on the other folds."""
+"""Fusing semantic scores with category priors, with coefficients (and shapes of the prior) chosen on the other folds."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import FLOOR, fused_add, fused_mult
-from .ranking import with_rank, worst_gold
 
 #: Fixed grids, in the order that breaks ties.
 ALPHAS = (0.3, 0.5, 0.7)
@@ -21,40 +20,72 @@ def fold_table(spark: SparkSession, n: int = N_FOLDS) -> DataFrame:
     return spark.range(n).select(F.col("id").cast("int").alias("held"))
 
 
-def grid(spark: SparkSession, method: str) -> DataFrame:
-    """pos, alpha, beta, lam, weight (of the prior), in grid order."""
-    rows = [(a, b, 0.0, b) for a in ALPHAS for b in BETAS] if method == "add" else [(0.0, 0.0, x, x) for x in LAMBDAS]
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "pos int, alpha double, beta double, lam double, weight double")
+def grid(spark: SparkSession, method: str, shapes: int = 1, zero: bool = False) -> DataFrame:
+    """pos, shape, alpha, beta, lam, weight (of the prior), in grid order: shapes first. ``zero`` adds the weight 0."""
+    betas, lams = (tuple(sorted({*x, 0.0})) if zero else x for x in (BETAS, LAMBDAS))
+    rows = [(a, b, 0.0, b) for a in ALPHAS for b in betas] if method == "add" else [(0.0, 0.0, x, x) for x in lams]
+    rows = [(s, *r) for s in range(shapes) for r in rows]
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "pos int, shape int, alpha double, beta double, lam double, weight double")
 
 
 def zscore_stats(base: DataFrame, score: str = "s") -> DataFrame:
-    """Mean and population deviation of all scores of the queries outside each fold; a tiny deviation counts as 1."""
-    held = F.broadcast(fold_table(base.sparkSession))  # N_FOLDS rows
-    stats = base.join(held, F.col("fold") != F.col("held")).groupBy("split", "held").agg(F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"))
-    return stats.withColumn("std", F.when(F.col("std") > FLOOR, F.col("std")).otherwise(1.0))
+    """Mean and population deviation of all scores of the queries outside each fold; a tiny deviation counts as 1.
+
+    Each fold's count, mean and variance are taken once; those of the other folds together follow from them.
+    """
+    per = base.groupBy("split", "fold").agg(F.count(score).alias("n"), F.avg(score).alias("m"), F.var_pop(score).alias("v"))
+    rest = per.join(F.broadcast(fold_table(base.sparkSession)), F.col("fold") != F.col("held"))  # N_FOLDS rows
+    whole = rest.groupBy("split", "held").agg(F.sum("n").alias("total"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"), F.collect_list(F.struct("n", "m", "v")).alias("parts"))
+    spread = F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["n"] * (x["v"] + (x["m"] - F.col("mean")) * (x["m"] - F.col("mean"))))
+    std = F.sqrt(spread / F.col("total"))
+    return whole.withColumn("std", std).select("split", "held", "mean", F.when(F.col("std") > FLOOR, F.col("std")).otherwise(1.0).alias("std"))
 
 
-def fused(method: str, score: str = "s", prior: str = "p"):
-    s, p = F.col(score), F.col(prior)
+def fused(method: str, score: str = "s", prior: str | Column = "p") -> Column:
+    s, p = F.col(score), F.col(prior) if isinstance(prior, str) else prior
     return fused_add(s, F.col("mean"), F.col("std"), p, F.col("alpha"), F.col("beta")) if method == "add" else fused_mult(s, p, F.col("lam"))
 
 
-def grid_search(base: DataFrame, method: str, stats: DataFrame) -> DataFrame:
-    """For each (split, held fold) the coefficients with the best recall on the other folds.
+def gold_ranks(base: DataFrame, tries: DataFrame, keys: list[str], f: Column) -> DataFrame:
+    """``above`` of each (query, try) with gold: how many tools stand before the last gold one when scored by ``f``.
 
-    ``base``: split, query_id, tool_idx, fold, s, p, is_gold. Ties go to the smaller prior weight, then to grid order.
+    base: split, query_id, tool_idx, is_gold and what ``f`` needs; tries (a few rows for each split): split, keys, what
+    else ``f`` needs, and ``held`` if a try leaves the queries of a fold out. Gold rows alone tell which gold tool comes
+    last; one aggregate then counts what stands before it.
     """
-    combos = F.broadcast(grid(base.sparkSession, method))  # a dozen rows
-    tried = base.join(F.broadcast(stats), "split").where(F.col("fold") != F.col("held")).crossJoin(combos)  # stats: folds x splits rows
-    ranked = with_rank(tried.withColumn("f", fused(method)), "f", "split", "query_id", "held", "pos")
-    hits = worst_gold(ranked, "split", "query_id", "held", "pos", "alpha", "beta", "lam", "weight")
-    recall = hits.groupBy("split", "held", "pos", "alpha", "beta", "lam", "weight").agg(F.avg((F.col("maxgold") <= SELECT_K).cast("double")).alias("recall"))
-    best = Window.partitionBy("split", "held").orderBy(F.desc("recall"), "weight", "pos")
-    return recall.withColumn("n", F.row_number().over(best)).where("n = 1").drop("n")
-
-
-def fuse(base: DataFrame, method: str, stats: DataFrame, coeffs: DataFrame, rounded: bool = True) -> DataFrame:
+    on = F.col("t_split") == F.col("split")
+    if "held" in tries.columns:
+        on = on & (F.col("fold") != F.col("held"))
+    few = F.broadcast(tries.withColumnRenamed("split", "t_split"))  # rows of a grid for each split and fold
+    last = base.where("is_gold").join(few, on).groupBy("query_id", *keys).agg(F.min(F.struct(f.alias("f"), (-F.col("tool_idx")).alias("back"))).alias("w"))
+    asked = last.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct(F.struct(*keys).alias("k"), F.struct(F.col("w.f").alias("f"), (-F.col("w.back")).alias("at")).alias("w")))).alias("asked"))
+    met = base.join(asked, "query_id").join(few, on).withColumn("w", F.element_at("asked", F.struct(*keys)))
+    before = (f > F.col("w.f")) | ((f == F.col("w.f")) & (F.col("tool_idx") < F.col("w.at")))
+    return met.groupBy("split", "query_id", *keys).agg(F.count_if(before).alias("above"))
+
+
+def grid_search(base: DataFrame, method: str, stats: DataFrame, shapes: int = 1, zero: bool = False, k: int = SELECT_K) -> DataFrame:
+    """For each (split, held fold) the coefficients, and the shape of the prior, with the best recall on the other folds.
+
+    ``base``: split, query_id, tool_idx, fold, s, is_gold, and p or, with several shapes, ps (an array, a prior for each).
+    Ties go to the smaller prior weight, then to grid order. A query without gold counts as a hit.
+    """
+    prior = F.col("p") if shapes == 1 else F.get("ps", F.col("shape"))
+    tries = stats.join(F.broadcast(grid(base.sparkSession, method, shapes, zero)))  # grid rows for each split and fold
+    above = gold_ranks(base, tries, ["held", "pos"], fused(method, prior=prior))
+    hits = above.groupBy("split", "held", "pos").agg(F.count_if(F.col("above") < k).alias("hits"))
+    queries = base.groupBy("split", "query_id", "fold").agg(F.max(F.col("is_gold").cast("int")).alias("gold"))
+    per = queries.groupBy("split", "fold").agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.col("gold"), F.lit(0)) == 0).alias("free"))
+    total = per.join(F.broadcast(fold_table(base.sparkSession)), F.col("fold") != F.col("held")).groupBy("split", "held").agg(F.sum("n").alias("n"), F.sum("free").alias("free"))  # N_FOLDS rows
+    recall = tries.drop("mean", "std").join(total, ["split", "held"]).join(hits, ["split", "held", "pos"], "left")
+    recall = recall.withColumn("recall", (F.coalesce("hits", F.lit(0)) + F.col("free")) / F.col("n"))
+    best = recall.groupBy("split", "held").agg(F.max_by(F.struct("pos", "shape", "alpha", "beta", "lam", "weight", "recall"), F.struct("recall", -F.col("weight"), -F.col("pos"))).alias("x"))
+    return best.select("split", "held", "x.*")
+
+
+def fuse(base: DataFrame, method: str, stats: DataFrame, coeffs: DataFrame, rounded: bool = True, shapes: int = 1) -> DataFrame:
     """``base`` with ``f``, each query scored with the coefficients of the fold that holds it; z parameters to 6 places."""
     z = stats.select("split", F.col("held").alias("fold"), *((F.round(c, 6) if rounded else F.col(c)).alias(c) for c in ("mean", "std")))
-    use = coeffs.select("split", F.col("held").alias("fold"), "alpha", "beta", "lam")
-    return base.join(F.broadcast(z.join(use, ["split", "fold"])), ["split", "fold"]).withColumn("f", fused(method))
+    use = coeffs.select("split", F.col("held").alias("fold"), "shape", "alpha", "beta", "lam")
+    prior = F.col("p") if shapes == 1 else F.get("ps", F.col("shape"))
+    return base.join(F.broadcast(z.join(use, ["split", "fold"])), ["split", "fold"]).withColumn("f", fused(method, prior=prior))

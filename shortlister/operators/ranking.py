@@ -5,12 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot
+from ..functions.vectors import dot_of
+from ..tables import placed
+
+
+#: Vectors of each side that one cell of a product holds, at most about.
+BLOCK = 1024
+
+
+def product(left: DataFrame, right: DataFrame, key_left: str, key_right: str) -> DataFrame:
+    """Every row of one table with every row of the other, met in cells of a block of each.
+
+    A stated set of queries against a whole catalogue needs all of these pairs. Blocks are dealt by a hash of the keys;
+    a cell is a join key, so that no task holds more than two blocks and nothing is broadcast.
+    """
+    width = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n, m = left.count(), right.count()
+    rows = max(1, -(-n // BLOCK))
+    columns = max(1, -(-m // BLOCK), min(m, -(-width // rows)))
+    a = left.withColumn("_r", F.pmod(F.xxhash64(key_left), F.lit(rows)).cast("int")).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+    b = right.withColumn("_c", F.pmod(F.xxhash64(key_right), F.lit(columns)).cast("int")).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+    return a.join(b.hint("shuffle_hash"), ["_r", "_c"]).drop("_r", "_c")
 
 
 def slot_scores(queries: DataFrame, slots: DataFrame) -> DataFrame:
     """Every query's dot product with every slot vector: a stated set of queries against the whole catalogue."""
-    return queries.crossJoin(slots.withColumnRenamed("vec", "tool_vec")).withColumn("d", dot(F.col("vec"), F.col("tool_vec"))).drop("vec", "tool_vec")
+    dims = slots.agg(F.coalesce(F.max(F.size("vec")), F.lit(0))).first()[0]
+    met = product(queries, slots.withColumnRenamed("vec", "tool_vec").withColumn("_slot", F.struct("tool_idx", "slot")), "query_id", "_slot").drop("_slot")
+    return met.withColumn("d", dot_of(F.col("vec"), F.col("tool_vec"), dims)).drop("vec", "tool_vec")
 
 
 def pooled_scores(slots: DataFrame, *keys: str) -> DataFrame:
@@ -41,4 +63,5 @@ def recall_all(gold: Column, candidates: Column) -> Column:
 def folds(queries: DataFrame, n: int = 5, seed: int = 42) -> DataFrame:
     """Balanced folds in each split, in the order of md5 of seed and id."""
     order = F.md5(F.concat(F.lit(f"{seed}::"), F.col("query_id")))
-    return queries.select("split", "query_id", ((F.row_number().over(Window.partitionBy("split").orderBy(order)) - 1) % n).alias("fold"))
+    rows = placed(queries.select("split", "query_id", order.alias("order")), ["split"], [F.col("order"), F.col("query_id")])
+    return rows.select("split", "query_id", (F.col("place") % n).cast("int").alias("fold"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
-from ..functions.vectors import dot
 from ..operators import analysis as an
 from ..operators import calls as oc
 from ..operators import ranking as rk
+from ..tables import placed
 from .fixture_sql import BASE, CALLS, FX1
 
 QUERIES, ORACLES = {}, {}
@@ -173,15 +173,15 @@ sm AS (SELECT query_id, split, seg, max(s) AS m FROM ss GROUP BY ALL), gs AS (SE
 
 
 def _segment_scores(spark, sf_dir):
-    from pyspark.sql import Window
-
-    q = fx.queries(spark, sf_dir)
-    qs = q.withColumn("o", F.row_number().over(Window.partitionBy("split").orderBy("q_ord"))).withColumn("c", F.count("*").over(Window.partitionBy("split")))
+    q = fx.queries(spark, sf_dir).select("split", "query_id", "q_ord")
+    n = q.groupBy("split").agg(F.count("*").alias("c"))
+    qs = placed(q, ["split"], [F.col("q_ord")]).withColumn("o", F.col("place") + 1).join(n, "split")
     a = qs.select("query_id", "split", "o", "c", F.explode(F.sequence(F.lit(0), (1 + F.col("q_ord") % 3).cast("int"))).alias("seg"))
     a = a.withColumn("to", (F.col("o") - 1 + F.col("seg")) % F.col("c") + 1)
-    seg = a.join(qs.select("split", F.col("o").alias("to"), "vec"), ["split", "to"]).select("query_id", "split", "seg", "vec")
-    d = seg.crossJoin(fx.slots(spark, sf_dir).select("tool_idx", F.col("vec").alias("tv"))).withColumn("d", dot(F.col("vec"), F.col("tv")))
-    return d.groupBy("query_id", "split", "seg", "tool_idx").agg(F.max("d").alias("s"))
+    seg = a.join(qs.select("split", F.col("o").alias("to"), F.col("query_id").alias("of")), ["split", "to"]).select("query_id", "split", "seg", "of")
+    # A segment is another query's vector here: its scores are in the product already.
+    d = fx.dots(spark, sf_dir).groupBy(F.col("query_id").alias("of"), "tool_idx").agg(F.max("d").alias("s"))
+    return seg.join(d, "of").select("query_id", "split", "seg", "tool_idx", "s")
 
 
 def _segment_m(spark, sf_dir):

@@ -150,7 +150,7 @@ _LIVE = "NOT (slot=2 AND tool_idx%7=0)"
 
 
 def _live(spark, sf_dir):
-    return rk.slot_scores(fx.queries(spark, sf_dir), fx.slots(spark, sf_dir)).where(~((F.col("slot") == 2) & (F.col("tool_idx") % 7 == 0)))
+    return fx.dots(spark, sf_dir).where(~((F.col("slot") == 2) & (F.col("tool_idx") % 7 == 0)))
 
 
 @query(f"""{FX1}, pr AS ({_soft(f'SELECT query_id, label AS g, max(d) AS best FROM dots WHERE {_LIVE} GROUP BY ALL')}), mem AS (SELECT DISTINCT tool_idx, label AS g FROM tv WHERE {_LIVE}),
@@ -259,7 +259,7 @@ def full_candidates(spark, sf_dir):
 SELECT tool_idx, slot, split, round(d, 4) AS max_sim, query_id AS closest_query FROM m WHERE n=1 AND d>0.4""")
 def leak_gate(spark, sf_dir):
     """I17, D-10: examples too close to any query of a split, with the closest one."""
-    d = rk.slot_scores(fx.queries(spark, sf_dir), fx.slots(spark, sf_dir)).where("slot > 0")
+    d = fx.dots(spark, sf_dir).where("slot > 0")
     order = Window.partitionBy("tool_idx", "slot", "split").orderBy(F.desc("d"), "q_ord")
     return d.withColumn("n", F.row_number().over(order)).where("n = 1 AND d > 0.4").select("tool_idx", "slot", "split", F.round("d", 4).alias("max_sim"), F.col("query_id").alias("closest_query"))
 
@@ -270,7 +270,7 @@ def example_max_leak(spark, sf_dir):
     """D-9, D6: the closest query that has the tool as gold; 0 without any."""
     examples = fx.slots(spark, sf_dir).where("slot > 0").select("tool_idx", "slot")
     gold = fx.scores(spark, sf_dir).where("is_gold").select("tool_idx", "query_id")
-    d = rk.slot_scores(fx.queries(spark, sf_dir), fx.slots(spark, sf_dir)).join(gold, ["tool_idx", "query_id"]).select("tool_idx", "slot", "d")
+    d = fx.dots(spark, sf_dir).join(gold, ["tool_idx", "query_id"]).select("tool_idx", "slot", "d")
     sim = F.coalesce(F.max("d"), F.lit(0.0))
     return examples.join(d, ["tool_idx", "slot"], "left").groupBy("tool_idx", "slot").agg(F.round(sim, 4).alias("max_leak_sim"), (sim <= 0.6).alias("leak_ok"))
 
@@ -283,7 +283,7 @@ a AS (SELECT variant, split, k, avg(CASE WHEN mg<=k THEN 1.0 ELSE 0.0 END) AS re
 SELECT x.split, x.k, round(x.recall, 4) AS base, round(y.recall, 4) AS contrastive, round(y.recall-x.recall, 4) AS delta FROM a x JOIN a y ON x.split=y.split AND x.k=y.k AND x.variant='base' AND y.variant='contrastive'""")
 def contrastive_ab(spark, sf_dir):
     """Base vectors against base and gated additional ones."""
-    d = rk.slot_scores(fx.queries(spark, sf_dir), fx.slots(spark, sf_dir))
+    d = fx.dots(spark, sf_dir)
     passed = d.where("slot = 2 AND tool_idx % 7 <> 0").groupBy("tool_idx", "slot").agg(F.max("d").alias("m")).where("m <= 0.4").select("tool_idx", "slot")
     base = d.where("slot < 2")
     both = base.unionByName(d.join(passed, ["tool_idx", "slot"], "left_semi"))

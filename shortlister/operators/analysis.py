@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..tables import placed
+from .fusion import fold_table
+from .ranking import with_rank, worst_gold
+
 #: Fixed names and order of retrieval methods.
 METHODS = ("dense_single", "dense_multi", "fusion_add_oracle", "fusion_add_real", "fusion_mult_oracle", "fusion_mult_real")
 CONDITIONS = ("random_k", "oracle_tool", *(f"retrieved_{m}" for m in METHODS))
@@ -65,11 +69,9 @@ def given_recall(records: DataFrame) -> DataFrame:
 
 def low_similarity_miss(pairs: DataFrame, percent: int = 20) -> DataFrame:
     """Of (split, sim, missed) the share missed among pairs up to the similarity at the given percentile's place."""
-    r = F.row_number().over(Window.partitionBy("split").orderBy("sim"))
-    n = F.count("*").over(Window.partitionBy("split"))
-    marked = pairs.withColumn("r", r).withColumn("at", F.greatest(F.lit(1), F.floor(n * percent / 100)))
-    cut = marked.where("r = at").select("split", F.col("sim").alias("cut"))
-    return marked.join(cut, "split").where("sim <= cut").groupBy("split").agg(F.round(F.avg(F.col("missed").cast("double")), 4).alias("low_sim_miss_rate"), F.count("*").alias("pairs"))
+    counts = pairs.groupBy("split").agg(F.count("*").alias("n")).select("split", F.greatest(F.lit(1), F.floor(F.col("n") * percent / 100)).alias("at"))
+    cut = placed(pairs, ["split"], [F.col("sim")]).join(counts, "split").where("place + 1 = at").select("split", F.col("sim").alias("cut"))
+    return pairs.join(cut, "split").where("sim <= cut").groupBy("split").agg(F.round(F.avg(F.col("missed").cast("double")), 4).alias("low_sim_miss_rate"), F.count("*").alias("pairs"))
 
 
 def gate(segments: DataFrame, mode: str, param: float) -> DataFrame:
@@ -81,6 +83,48 @@ def gate(segments: DataFrame, mode: str, param: float) -> DataFrame:
     return marked.withColumn("kept", F.col("_k") | (~F.max("_k").over(w) & (F.col("_b") == 1))).drop("_b", "_k")
 
 
+#: Gates in the order that breaks ties: their kind and parameter.
+GATES = (("none", 0.0), ("abs", 0.4), ("abs", 0.45), ("abs", 0.5), ("rel", 0.01), ("rel", 0.02), ("rel", 0.04), ("rel", 0.08), ("rank", 1.0), ("rank", 2.0), ("rank", 3.0))
+
+
+def gated_sets(segments: DataFrame, gates: tuple = GATES) -> DataFrame:
+    """query_id, pos (of the gate), kept (sorted segments), drop (the share that went): what each gate keeps of each query.
+
+    segments: query_id, seg, m, m_full. If a gate keeps none, the first best one stays.
+    """
+    spark = segments.sparkSession
+    grid = F.broadcast(spark.createDataFrame([(i, *g) for i, g in enumerate(gates)], "pos int, gate string, param double"))  # a dozen rows
+    own = segments.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("m")).alias("back"), "seg", "m", "m_full"))).alias("by_m"))  # a query's segments, a few
+    each = own.join(grid)
+    keep = F.filter(
+        "by_m",
+        lambda x, i: F.when(F.col("gate") == "abs", x["m"] >= F.col("param")).when(F.col("gate") == "rel", x["m"] >= x["m_full"] - F.col("param")).when(F.col("gate") == "rank", i < F.greatest(F.lit(1), F.col("param").cast("int"))).otherwise(True),
+    )
+    kept = each.withColumn("k", keep).withColumn("k", F.when(F.size("k") > 0, F.col("k")).otherwise(F.slice("by_m", 1, 1)))
+    return kept.select("query_id", "pos", "gate", "param", F.array_sort(F.transform("k", lambda x: x["seg"])).alias("kept"), (1 - F.size("k") / F.size("by_m")).alias("drop"))
+
+
+def gate_ranks(scores: DataFrame, gold: DataFrame, sets: DataFrame) -> DataFrame:
+    """query_id, kept, maxgold: the last gold tool's rank by the best score of the whole query and the kept segments.
+
+    scores: query_id, seg (0 is the whole query), tool_idx, s; gold: query_id, tool_idx, is_gold. Gates that keep the
+    same segments of a query share the work.
+    """
+    variants = sets.select("query_id", "kept").distinct()
+    met = scores.join(variants, "query_id").where((F.col("seg") == 0) | F.array_contains("kept", F.col("seg")))
+    best = met.groupBy("query_id", "kept", "tool_idx").agg(F.max("s").alias("u")).join(gold.select("query_id", "tool_idx", "is_gold"), ["query_id", "tool_idx"])
+    return worst_gold(with_rank(best, "u", "query_id", "kept"), "query_id", "kept")
+
+
+def gate_search(ranks: DataFrame, sets: DataFrame, folds: DataFrame, k: int) -> DataFrame:
+    """For each (split, held fold) the gate with the best recall at k on the other folds; ties to the one that drops less, then to order."""
+    each = sets.join(ranks, ["query_id", "kept"]).join(folds, "query_id")
+    held = F.broadcast(fold_table(sets.sparkSession))  # a row for each fold
+    per = each.join(held, F.col("fold") != F.col("held")).groupBy("split", "held", "pos", "gate", "param").agg(F.avg((F.col("maxgold") <= k).cast("double")).alias("recall"), F.avg("drop").alias("drop"))
+    best = per.groupBy("split", "held").agg(F.max_by(F.struct("pos", "gate", "param", "recall"), F.struct("recall", F.round(-F.col("drop"), 12), -F.col("pos"))).alias("x"))
+    return best.select("split", "held", "x.*")
+
+
 def quota_top_k(scores: DataFrame, k: int) -> DataFrame:
     """query_id, tool_idx, place: round robin over the segments' rankings, the rest by the best of all scores.
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import running
+
 
 def coverage(freq: DataFrame, test: DataFrame, vocab: DataFrame) -> DataFrame:
     """One row on how training categories (category, n) cover test categories within a vocabulary."""
@@ -53,8 +55,7 @@ def fit_temperature(rows: DataFrame) -> DataFrame:
 def average_precision(rows: DataFrame, *keys: str) -> DataFrame:
     """keys, ap: precision at the end of each group of equal scores times the recall it adds; only keys with positives."""
     ties = rows.groupBy(*keys, "score").agg(F.sum("y").alias("tp"), F.count("*").alias("n"))
-    w = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    run = ties.withColumn("precision", F.sum("tp").over(w) / F.sum("n").over(w))
+    run = running(ties, list(keys), [F.desc("score")], tp_to=F.col("tp"), n_to=F.col("n")).withColumn("precision", F.col("tp_to") / F.col("n_to"))
     return run.groupBy(*keys).agg(F.sum("tp").alias("pos"), F.sum(F.col("precision") * F.col("tp")).alias("s")).where("pos > 0").select(*keys, (F.col("s") / F.col("pos")).alias("ap"))
 
 

@@ -57,10 +57,11 @@ def gold_ranks(base: DataFrame, tries: DataFrame, keys: list[str], f: Column) ->
     if "held" in tries.columns:
         on = on & (F.col("fold") != F.col("held"))
     few = F.broadcast(tries.withColumnRenamed("split", "t_split"))  # rows of a grid for each split and fold
-    last = base.where("is_gold").join(few, on).groupBy("query_id", *keys).agg(F.min(F.struct(f.alias("f"), (-F.col("tool_idx")).alias("back"))).alias("w"))
-    asked = last.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct(F.struct(*keys).alias("k"), F.struct(F.col("w.f").alias("f"), (-F.col("w.back")).alias("at")).alias("w")))).alias("asked"))
-    met = base.join(asked, "query_id").join(few, on).withColumn("w", F.element_at("asked", F.struct(*keys)))
-    before = (f > F.col("w.f")) | ((f == F.col("w.f")) & (F.col("tool_idx") < F.col("w.at")))
+    known = [c for c in few.columns if c != "t_split"]
+    last = base.where("is_gold").join(few, on).groupBy("query_id", *known).agg(F.min(F.struct(f.alias("f"), (-F.col("tool_idx")).alias("back"))).alias("w"))
+    asked = last.groupBy("query_id").agg(F.collect_list(F.struct(*known, F.col("w.f").alias("last_f"), (-F.col("w.back")).alias("last_at"))).alias("asked"))
+    met = base.join(asked, "query_id").withColumn("x", F.explode("asked")).select(*base.columns, "x.*")
+    before = (f > F.col("last_f")) | ((f == F.col("last_f")) & (F.col("tool_idx") < F.col("last_at")))
     return met.groupBy("split", "query_id", *keys).agg(F.count_if(before).alias("above"))
 
 

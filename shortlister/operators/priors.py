@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, norm
+from ..functions.vectors import dot, dot_of, norm
+from .ranking import product
 
 TEMPERATURE = 0.05
 
@@ -69,6 +70,7 @@ def prior_stats(p: DataFrame) -> DataFrame:
 def nearest(reps: DataFrame, n: int) -> DataFrame:
     """tool_idx, other, similarity, rk: the closest tools of other services (columns tool_idx, service, vec)."""
     other = reps.select(F.col("tool_idx").alias("other"), F.col("service").alias("other_service"), F.col("vec").alias("other_vec"))
-    near = reps.join(other, (F.col("tool_idx") != F.col("other")) & (F.col("service") != F.col("other_service"))).withColumn("similarity", dot(F.col("vec"), F.col("other_vec")))
+    dims = reps.agg(F.coalesce(F.max(F.size("vec")), F.lit(0))).first()[0]
+    near = product(reps, other, "tool_idx", "other").where("tool_idx <> other and service <> other_service").withColumn("similarity", dot_of(F.col("vec"), F.col("other_vec"), dims))
     order = Window.partitionBy("tool_idx").orderBy(F.desc("similarity"), "other")
     return near.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= n).select("tool_idx", "other", "similarity", "rk")

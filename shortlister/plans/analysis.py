@@ -8,7 +8,7 @@ from .. import fixtures as fx
 from ..operators import analysis as an
 from ..operators import calls as oc
 from ..operators import ranking as rk
-from ..tables import placed
+from ..tables import placed, stash
 from .fixture_sql import BASE, CALLS, FX1
 
 QUERIES, ORACLES = {}, {}
@@ -235,6 +235,40 @@ def segment_m_position(spark, sf_dir):
     return by.unionByName(last)
 
 
+_GATES = f"""{_G}, fd AS (SELECT split, query_id, (row_number() OVER (PARTITION BY split ORDER BY md5('42::' || query_id))-1)%5 AS fold FROM q),
+gt AS (SELECT CAST(i-1 AS INTEGER) AS pos, {[g for g, _ in an.GATES]}[i] AS gate, {[p for _, p in an.GATES]}[i]::DOUBLE AS param FROM range(1, {len(an.GATES) + 1}) t(i)),
+bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY m DESC, seg) AS b FROM gs),
+k0 AS (SELECT bm.*, pos, gate, param, CASE gate WHEN 'abs' THEN m>=param WHEN 'rel' THEN m>=m_full-param WHEN 'rank' THEN b<=param ELSE true END AS k FROM bm, gt),
+k1 AS MATERIALIZED (SELECT *, k OR (NOT bool_or(k) OVER (PARTITION BY query_id, pos) AND b=1) AS kept FROM k0),
+ds AS (SELECT query_id, pos, gate, param, 1-count(*) FILTER (kept)/count(*) AS dropped FROM k1 GROUP BY ALL),
+un AS (SELECT query_id, pos, tool_idx, max(s) AS u FROM (SELECT k1.query_id, pos, tool_idx, s FROM k1 JOIN ss USING (query_id, seg) WHERE kept UNION ALL SELECT ss.query_id, pos, tool_idx, s FROM ss, gt WHERE seg=0) GROUP BY ALL),
+ur AS (SELECT un.*, is_gold, row_number() OVER (PARTITION BY un.query_id, pos ORDER BY u DESC, un.tool_idx) AS rk FROM un JOIN s ON s.query_id=un.query_id AND s.tool_idx=un.tool_idx),
+mg AS MATERIALIZED (SELECT query_id, pos, max(rk) FILTER (is_gold) AS mg FROM ur GROUP BY ALL),
+gr AS (SELECT split, held, pos, gate, param, avg(CASE WHEN mg<=10 THEN 1.0 ELSE 0.0 END) AS recall, round(avg(dropped), 12) AS dropped FROM mg JOIN ds USING (query_id, pos) JOIN fd USING (query_id), (SELECT unnest(range(5)) AS held) WHERE fold<>held GROUP BY ALL),
+gc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY split, held ORDER BY recall DESC, dropped, pos) AS n FROM gr) WHERE n=1)"""
+
+
+def _gates(spark, sf_dir):
+    sets = stash(an.gated_sets(_segment_m(spark, sf_dir).select("query_id", "seg", "m", "m_full")))
+    ranks = stash(an.gate_ranks(_segment_scores(spark, sf_dir), fx.scores(spark, sf_dir), sets))
+    folds = fx.base(spark, sf_dir).select("split", "query_id", "fold").distinct()
+    return sets, ranks, folds, an.gate_search(ranks, sets, folds, HEAD)
+
+
+@query(f"{_GATES} SELECT split, CAST(held AS INTEGER) AS held, gate, param, round(recall, 4) AS recall FROM gc")
+def gate_search(spark, sf_dir):
+    """The gate of segments, chosen on the other folds."""
+    return _gates(spark, sf_dir)[3].select("split", "held", "gate", "param", F.round("recall", 4).alias("recall"))
+
+
+@query(f"{_GATES} SELECT fd.split, round(avg(CASE WHEN mg<=10 THEN 1.0 ELSE 0.0 END), 4) AS recall, round(avg(ds.dropped), 4) AS drop_rate, round(avg(mg), 2) AS maxgold_mean FROM fd JOIN gc ON gc.split=fd.split AND gc.held=fd.fold JOIN mg ON mg.query_id=fd.query_id AND mg.pos=gc.pos JOIN ds ON ds.query_id=fd.query_id AND ds.pos=gc.pos GROUP BY fd.split")
+def gate_search_heldout(spark, sf_dir):
+    """What the chosen gates give on the folds that they have not seen."""
+    sets, ranks, folds, chosen = _gates(spark, sf_dir)
+    use = folds.join(chosen.select("split", F.col("held").alias("fold"), "pos"), ["split", "fold"]).join(sets.drop("gate", "param"), ["query_id", "pos"]).join(ranks, ["query_id", "kept"])
+    return use.groupBy("split").agg(F.round(F.avg((F.col("maxgold") <= HEAD).cast("double")), 4).alias("recall"), F.round(F.avg("drop"), 4).alias("drop_rate"), F.round(F.avg("maxgold"), 2).alias("maxgold_mean"))
+
+
 def _variant_sql(where):
     return f"""{_G}, p AS (SELECT query_id, tool_idx, max(s) AS u FROM ss WHERE {where} GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY u DESC, tool_idx) AS place FROM p) SELECT query_id, tool_idx, CAST(place AS INTEGER) AS place FROM r WHERE place<=10"""
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..functions import text as tx
 from ..operators import classify as cl
+from ..tables import stash
 
 QUERIES, ORACLES = {}, {}
 
@@ -125,11 +126,12 @@ def category_prior_model(spark, sf_dir):
     rows = _rows(spark, sf_dir).where("category <> 'absent'").select("doc_id", "category", "y")
     words = fx.table(spark, sf_dir, "documents").select("doc_id", F.split(tx.norm_text(F.coalesce("text", F.lit(""))), " ").alias("words"))
     vectors = HashingTF(inputCol="words", outputCol="features", numFeatures=1 << 12, binary=True).transform(words).select("doc_id", "features")
+    vectors = stash(vectors)
+    weights = {r.category: r.w for r in rows.groupBy("category").agg(cl.positive_weight(F.col("y")).alias("w")).collect()}  # a row for each category
     out = None
     for category in ("quality", "toxic"):
         train = rows.where(F.col("category") == category).join(vectors, "doc_id")
-        weight = train.agg(cl.positive_weight(F.col("y"))).first()[0]
-        train = train.withColumn("w", F.when(F.col("y") == 1, float(weight)).otherwise(1.0))
+        train = train.withColumn("w", F.when(F.col("y") == 1, float(weights[category])).otherwise(1.0))
         model = LogisticRegression(labelCol="y", weightCol="w", regParam=0.1, maxIter=10).fit(train)
         from pyspark.ml.functions import vector_to_array
 

@@ -10,6 +10,7 @@ from ..functions.vectors import dot
 from ..operators import effects as ef
 from ..operators import priors as pr
 from ..operators import ranking as rk
+from ..tables import stash
 from .fixture_sql import BASE, FX1
 
 QUERIES, ORACLES = {}, {}
@@ -234,7 +235,7 @@ def _random_order(*parts: str):
 @query(f"{FX1}, r AS (SELECT split, query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY md5(query_id || '::rand::' || id)) AS n FROM q, tool) SELECT split, query_id, id, CAST(n AS INTEGER) AS n FROM r WHERE n<=10")
 def random_candidates(spark, sf_dir):
     """K random tools, gold not guaranteed; nested across K."""
-    qt = fx.queries(spark, sf_dir).select("split", "query_id").crossJoin(fx.tools(spark, sf_dir).select("id"))
+    qt = rk.product(fx.queries(spark, sf_dir).select("split", "query_id"), fx.tools(spark, sf_dir).select("id"), "query_id", "id")
     order = Window.partitionBy("query_id").orderBy(_random_order("query_id", "rand", "id"))
     return qt.withColumn("n", F.row_number().over(order)).where("n <= 10").select("split", "query_id", "id", "n")
 
@@ -248,11 +249,10 @@ def oracle_candidates(spark, sf_dir):
     return s.withColumn("n", F.row_number().over(order)).withColumn("g", gold).where("n <= greatest(2, g)").select("split", "query_id", "id", "is_gold", "n")
 
 
-@query(f"{FX1} SELECT split, query_id, (SELECT string_agg(id, ',' ORDER BY tool_idx) FROM tool) AS candidates FROM q")
+@query(f"{FX1} SELECT split, query_id, id, tool_idx AS pos FROM q, tool")
 def full_candidates(spark, sf_dir):
-    """The whole catalogue in its order."""
-    whole = fx.tools(spark, sf_dir).agg(F.array_sort(F.collect_list(F.struct("tool_idx", "id"))).alias("t")).select(F.array_join(F.transform("t", lambda x: x["id"]), ",").alias("candidates"))
-    return fx.queries(spark, sf_dir).select("split", "query_id").crossJoin(whole)
+    """The whole catalogue in its order, a row for each candidate."""
+    return rk.product(fx.queries(spark, sf_dir).select("split", "query_id"), fx.tools(spark, sf_dir).select("id", F.col("tool_idx").alias("pos")), "query_id", "id").select("split", "query_id", "id", "pos")
 
 
 @query(f"""{FX1}, m AS (SELECT tool_idx, slot, split, query_id, d, row_number() OVER (PARTITION BY tool_idx, slot, split ORDER BY d DESC, q_ord) AS n FROM dots WHERE slot>0)
@@ -310,14 +310,14 @@ def _reps(spark, sf_dir):
 @query(f"{_REPS} SELECT tool_idx, other, round(sim, 4) AS similarity, CAST(rk AS INTEGER) AS rk FROM nn WHERE rk<=5")
 def knn_targets(spark, sf_dir):
     """D-16, F11."""
-    return pr.nearest(_reps(spark, sf_dir).select("tool_idx", "service", "vec"), 5).withColumn("similarity", F.round("similarity", 4))
+    return pr.nearest(stash(_reps(spark, sf_dir)).select("tool_idx", "service", "vec"), 5).withColumn("similarity", F.round("similarity", 4))
 
 
 @query(f"""{_REPS}, c AS (SELECT tool_idx, (sum(sim)-(3-count(*)))/3 AS score FROM nn WHERE rk<=3 GROUP BY tool_idx)
 SELECT id AS tool_id, round(score, 4) AS confusion_score, CAST(row_number() OVER (ORDER BY score DESC, tool_idx) AS INTEGER) AS place FROM c JOIN rep USING (tool_idx) QUALIFY row_number() OVER (ORDER BY score DESC, tool_idx)<=20""")
 def confusion_topn(spark, sf_dir):
     """Mean of the three closest, a missing one counting as -1."""
-    reps = _reps(spark, sf_dir)
+    reps = stash(_reps(spark, sf_dir))
     near = pr.nearest(reps.select("tool_idx", "service", "vec"), 3).groupBy("tool_idx").agg(((F.sum("similarity") - (3 - F.count("*"))) / 3).alias("score"))
     top = near.join(reps.select("tool_idx", "id"), "tool_idx").orderBy(F.desc("score"), "tool_idx").limit(20)
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "tool_idx"))).select(F.col("id").alias("tool_id"), F.round("score", 4).alias("confusion_score"), "place")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..operators import fusion as fu
+from ..operators import priors as pr
 from ..operators import ranking as rk
+from ..tables import stash
 from .fixture_sql import BASE, FX1, fusion
 
 KS = (5, 10, 20, 50)
@@ -215,12 +220,75 @@ def _ablation_part(score, prior):
 
 @query("SELECT base, prior, method, split, round(recall, 4) AS recall FROM (" + " UNION ALL ".join(x for s in ("s_multi", "s_single") for p in ("p_oracle", "p_real") for x in _ablation_part(s, p)) + ")")
 def prior_ablation(spark, sf_dir):
-    """Base scorer x prior x fusion."""
-    out = None
-    for score, base in (("s_multi", "multi"), ("s_single", "single")):
-        parts = [(_base(spark, sf_dir, "p_oracle", score).withColumn("f", F.col("s")), "none", "none")]
-        parts += [(_fused(spark, sf_dir, m, p, score), p.removeprefix("p_"), m) for p in ("p_oracle", "p_real") for m in ("add", "mult")]
-        for fused, prior, method in parts:
-            row = _recall(fused).select(F.lit(base).alias("base"), F.lit(prior).alias("prior"), F.lit(method).alias("method"), "split", F.round("recall", 4).alias("recall"))
-            out = row if out is None else out.unionByName(row)
-    return out
+    """Base scorer x prior x fusion. A variant is a split of its own, so that one search serves all of a method."""
+    b, out = fx.base(spark, sf_dir), []
+    rows = F.array(*(F.struct(F.lit(base).alias("base"), F.lit(p.removeprefix("p_")).alias("prior"), F.col(s).alias("s"), F.col(p).alias("p")) for base, s in (("multi", "s_multi"), ("single", "s_single")) for p in ("p_oracle", "p_real")))
+    each = b.withColumn("x", F.explode(rows)).select("tool_idx", "fold", "is_gold", "x.s", "x.p", *(F.concat_ws("|", "x.base", "x.prior", c).alias(c) for c in ("split", "query_id")))
+    each = stash(each)
+    for method in ("add", "mult"):
+        z = fu.zscore_stats(each)
+        out.append(_recall(fu.fuse(each, method, z, fu.grid_search(each, method, z))).withColumn("method", F.lit(method)))
+    out.append(_recall(each.where(F.col("split").contains("|oracle|")).withColumn("f", F.col("s"))).withColumn("method", F.lit("none")))
+    part = F.split("split", r"\|")
+    prior = F.when(F.col("method") == "none", "none").otherwise(part[1])
+    return reduce(DataFrame.unionByName, out).select(part[0].alias("base"), prior.alias("prior"), "method", part[2].alias("split"), F.round("recall", 4).alias("recall"))
+
+
+#: Shapes of a prior by rank: weight 1 / r ** p for these powers. The fixed grids get the weight 0 as well.
+SHAPES = (0.5, 1.0, 2.0)
+
+
+def _shaped_base(spark, sf_dir):
+    """``fx.base`` with ps: for each shape the prior of the tool's cluster, by the rank of the cluster's best three vectors."""
+    live = fx.dots(spark, sf_dir).where(~((F.col("slot") == 2) & (F.col("tool_idx") % 7 == 0)))
+    r = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cs"), "label"))
+    ranked = pr.cluster_scores(live, "topm").withColumn("r", r)
+    weights = F.array(*(1 / F.pow("r", F.lit(p)) for p in SHAPES))
+    each = ranked.select("query_id", F.concat(F.lit("cat"), F.col("label").cast("string")).alias("category"), weights.alias("w"))
+    total = each.groupBy("query_id").agg(F.array(*(F.sum(F.get("w", F.lit(i))) for i in range(len(SHAPES)))).alias("t"))
+    shaped = each.join(total, "query_id").select("query_id", "category", F.zip_with("w", "t", lambda a, b: a / b).alias("ps"))
+    none = F.array(*(F.lit(0.0) for _ in SHAPES))
+    return stash(fx.base(spark, sf_dir).withColumn("s", F.col("s_multi")).join(shaped, ["query_id", "category"], "left").withColumn("ps", F.coalesce("ps", none)))
+
+
+_JOINT = f"""{BASE}, held AS (SELECT unnest(range(5)) AS held), z AS (SELECT split, held, avg(s_multi) AS mean, CASE WHEN stddev_pop(s_multi)>1e-8 THEN stddev_pop(s_multi) ELSE 1.0 END AS std FROM b, held WHERE fold<>held GROUP BY ALL),
+tm AS (SELECT query_id, label, avg(d) AS cs FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY d DESC, tool_idx, slot) AS n FROM dots WHERE NOT (slot=2 AND tool_idx%7=0)) WHERE n<=3 GROUP BY ALL),
+tr AS (SELECT query_id, 'cat' || label AS category, row_number() OVER (PARTITION BY query_id ORDER BY cs DESC, label) AS r FROM tm),
+sp AS (SELECT i-1 AS shape, {list(SHAPES)}[i]::DOUBLE AS power FROM range(1, {len(SHAPES) + 1}) t(i)),
+ps AS MATERIALIZED (SELECT query_id, category, shape, (1/pow(r, power))/sum(1/pow(r, power)) OVER (PARTITION BY query_id, shape) AS p FROM tr, sp),
+gd AS (SELECT 'add' AS method, shape, (row_number() OVER (ORDER BY shape, i, j))-1 AS pos, [0.3,0.5,0.7][i]::DOUBLE AS alpha, [0.0,0.1,0.3,0.5,0.7][j]::DOUBLE AS beta, 0.0::DOUBLE AS lam, [0.0,0.1,0.3,0.5,0.7][j]::DOUBLE AS weight FROM sp, range(1,4) a(i), range(1,6) c(j)
+ UNION ALL SELECT 'mult', shape, (row_number() OVER (ORDER BY shape, k))-1, 0.0, 0.0, [0.0,0.1,0.25,0.5,1.0][k]::DOUBLE, [0.0,0.1,0.25,0.5,1.0][k]::DOUBLE FROM sp, range(1,6) d(k)),
+bs AS MATERIALIZED (SELECT b.split, b.query_id, b.tool_idx, b.is_gold, b.fold, b.s_multi, sp.shape, coalesce(ps.p, 0.0) AS p FROM b CROSS JOIN sp LEFT JOIN ps ON ps.query_id=b.query_id AND ps.category=b.category AND ps.shape=sp.shape),
+tf AS (SELECT bs.split, query_id, tool_idx, is_gold, z.held, method, pos, CASE WHEN method='add' THEN alpha*(s_multi-mean)/std + beta*p ELSE s_multi*pow(greatest(p, 0.05), lam) END AS f FROM bs JOIN z ON z.split=bs.split AND fold<>held JOIN gd ON gd.shape=bs.shape),
+tk AS (SELECT *, row_number() OVER (PARTITION BY query_id, held, method, pos ORDER BY f DESC, tool_idx) AS rk FROM tf),
+th AS (SELECT split, query_id, held, method, pos, max(CASE WHEN is_gold THEN rk END) AS mg FROM tk GROUP BY ALL),
+tc AS (SELECT split, held, method, pos, avg(CASE WHEN mg<=10 THEN 1.0 ELSE 0.0 END) AS recall FROM th GROUP BY ALL),
+ch AS MATERIALIZED (SELECT * FROM (SELECT tc.*, shape, alpha, beta, lam, row_number() OVER (PARTITION BY split, held, tc.method ORDER BY recall DESC, weight, pos) AS n FROM tc JOIN gd USING (method, pos)) WHERE n=1)"""
+
+
+def _joint(spark, sf_dir):
+    b = _shaped_base(spark, sf_dir)
+    z = fu.zscore_stats(b)
+    return b, z, {m: fu.grid_search(b, m, z, len(SHAPES), zero=True) for m in ("add", "mult")}
+
+
+@query(f"{_JOINT} SELECT method, split, CAST(held AS INTEGER) AS held, {list(SHAPES)}[CAST(shape AS INTEGER)+1]::DOUBLE AS power, alpha, beta, lam, round(recall, 4) AS recall FROM ch")
+def joint_shape_search(spark, sf_dir):
+    """Shape of the prior and coefficients together, on the other folds, with the weight 0 in the grid."""
+    _, _, chosen = _joint(spark, sf_dir)
+    power = F.get(F.array(*map(F.lit, SHAPES)), F.col("shape"))
+    return reduce(DataFrame.unionByName, (c.select(F.lit(m).alias("method"), "split", "held", power.alias("power"), "alpha", "beta", "lam", F.round("recall", 4).alias("recall")) for m, c in chosen.items()))
+
+
+@query(f"""{_JOINT}, uf AS (SELECT ch.method, bs.split, query_id, tool_idx, is_gold, CASE WHEN method='add' THEN alpha*(s_multi-round(mean, 6))/round(std, 6) + beta*p ELSE s_multi*pow(greatest(p, 0.05), lam) END AS f FROM bs JOIN z ON z.split=bs.split AND z.held=fold JOIN ch ON ch.split=bs.split AND ch.held=fold AND ch.shape=bs.shape),
+um AS (SELECT method, split, query_id, max(CASE WHEN is_gold THEN rk END) AS mg FROM (SELECT *, row_number() OVER (PARTITION BY method, query_id ORDER BY f DESC, tool_idx) AS rk FROM uf) GROUP BY ALL)
+SELECT method, split, k, round(avg(CASE WHEN mg<=k THEN 1.0 ELSE 0.0 END), 4) AS recall, round(avg(mg), 2) AS maxgold_mean FROM um, (SELECT unnest([5,10,20,50]) AS k) GROUP BY ALL""")
+def joint_shape_heldout(spark, sf_dir):
+    """What the choices of ``joint_shape_search`` give on the folds that they have not seen."""
+    b, z, chosen = _joint(spark, sf_dir)
+    parts = []
+    for m, c in chosen.items():
+        ranked = rk.with_rank(fu.fuse(b, m, z, c, shapes=len(SHAPES)), "f", "query_id")
+        worst = rk.worst_gold(ranked, "split", "query_id").withColumn("k", F.explode(F.array(*map(F.lit, KS))))
+        parts.append(worst.groupBy("split", "k").agg(F.round(F.avg((F.col("maxgold") <= F.col("k")).cast("double")), 4).alias("recall"), F.round(F.avg("maxgold"), 2).alias("maxgold_mean")).withColumn("method", F.lit(m)))
+    return reduce(DataFrame.unionByName, parts)

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _fallback_dir: str | None = None
@@ -106,22 +106,45 @@ def once(spark: SparkSession, name: str, inputs: list[str], build: Callable[[],
     return spark.read.parquet(_kept[key])
 
 
-def placed(rows: DataFrame, group: list[str], order: list) -> DataFrame:
-    """``rows`` with ``place``: the number from 0 in its group, in order; no task meets a whole group.
+def ranged(rows: DataFrame, by: list) -> DataFrame:
+    """``rows``, written in order of the columns ``by``: _part, the range that a row lies in, and _at, which rises through it.
 
-    The rows are dealt by ranges of group and order; how many rows of a group the ranges before hold comes from a count
-    for each range and group. Rows that agree in group and order get their numbers in any order. ``order``: columns.
+    Rows that agree in them are dealt by a hash, so that no range has to hold many equal ones.
     """
-    spark = rows.sparkSession
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    by = [*(F.col(c) for c in group), *order]
-    dealt = rows.withColumn("_tie", F.xxhash64(F.monotonically_increasing_id())).repartitionByRange(width, *by, "_tie").sortWithinPartitions(*by, "_tie").drop("_tie")
-    kept = stash(dealt.withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftrightunsigned("_at", 33))
-    counts = kept.groupBy(*group, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_least"))
-    before = F.expr(f"coalesce(sum(_n) over (partition by {', '.join([*group, '0']) if group else '0'} order by _part rows between unbounded preceding and 1 preceding), 0)")  # a row for each range and group
-    starts = counts.select(*(F.col(c).alias(f"_s_{c}") for c in group), F.col("_part").alias("_s_part"), "_least", before.alias("_before"))
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tied = rows.withColumn("_tie", F.xxhash64(F.monotonically_increasing_id()))
+    dealt = tied.repartitionByRange(width, *by, "_tie").sortWithinPartitions(*by, "_tie").drop("_tie")
+    return stash(dealt.withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftrightunsigned("_at", 33))
+
+
+def _starts(kept: DataFrame, group: list[str], sums: dict) -> DataFrame:
+    """What the ranges before hold of each group, for each range and group."""
+    per = kept.groupBy(*group, "_part").agg(F.min("_at").alias("_least"), *(F.sum(e).alias(n) for n, e in sums.items()))
+    before = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range and group
+    return per.select(*(F.col(c).alias(f"_s_{c}") for c in group), F.col("_part").alias("_s_part"), "_least", *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_s_{n}") for n in sums))
+
+
+def _with_starts(kept: DataFrame, group: list[str], starts: DataFrame) -> DataFrame:
     same = F.col("_part") == F.col("_s_part")
     for c in group:
         same = same & F.col(c).eqNullSafe(F.col(f"_s_{c}"))
-    joined = kept.join(starts, same)
-    return joined.select(*rows.columns, (F.col("_before") + F.col("_at") - F.col("_least")).alias("place"))
+    return kept.join(starts, same)
+
+
+def placed(rows: DataFrame, group: list[str], order: list) -> DataFrame:
+    """``rows`` with ``place``: the number from 0 in its group, in order; no task meets a whole group.
+
+    How many rows of a group the ranges before hold comes from a count for each range and group. Rows that agree in group
+    and order get their numbers in any order. ``order``: columns.
+    """
+    kept = ranged(rows, [*(F.col(c) for c in group), *order])
+    joined = _with_starts(kept, group, _starts(kept, group, {"n": F.lit(1)}))
+    return joined.select(*rows.columns, (F.col("_s_n") + F.col("_at") - F.col("_least")).alias("place"))
+
+
+def running(rows: DataFrame, group: list[str], order: list, **sums) -> DataFrame:
+    """``rows`` with sums over the rows of their group up to them, in order; no task meets a whole group."""
+    kept = ranged(rows, [*(F.col(c) for c in group), *order])
+    joined = _with_starts(kept, group, _starts(kept, group, sums))
+    own = Window.partitionBy(*group, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    return joined.select(*rows.columns, *((F.col(f"_s_{n}") + F.sum(e).over(own)).alias(n) for n, e in sums.items()))

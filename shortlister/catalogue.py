@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("ranking", "priors", "calls", "prep", "classify", "analysis", "sources")
+_MODULES = ("ranking", "priors", "calls", "prep", "classify", "analysis", "sources", "running")
 
 
 def _all(kind: str) -> dict:

@@ -8,6 +8,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 QUERY_PREFIX, PASSAGE_PREFIX = "query: ", "passage: "
 
@@ -40,18 +41,58 @@ def embed_distinct(df: DataFrame, text: str, model: Callable[[], Embedder], pref
             yield pd.DataFrame({"t": texts, "vec": vectors})
 
     unique = df.select(F.col(text).alias("t")).where("t IS NOT NULL").distinct()
-    return df.join(unique.mapInPandas(run, "t string, vec array<float>"), F.col(text) == F.col("t"), "left").drop("t")
+    vectors = unique.mapInPandas(run, "t string, vec array<float>").withColumnRenamed("t", "_text")
+    return df.join(vectors, F.col(text) == F.col("_text"), "left").drop("_text")
 
 
-def generate(df: DataFrame, prompt: str, model: Callable[[], Generator], batch: int = 8) -> DataFrame:
-    """``df`` with ``gen``, by batches of prompts."""
-    schema = df.schema.add("gen", "string")
+def cached_vectors(df: DataFrame, text: str, model: Callable[[], Embedder], cache: str, prefix: str = PASSAGE_PREFIX) -> DataFrame:
+    """``df`` with ``vec`` from a table of vectors by text; only texts that it lacks are embedded, and added to it.
+
+    The cache is a Parquet table at a path that driver and executors share: key (sha-256 of prefix and text), vec.
+    """
+    spark = df.sparkSession
+    key = F.sha2(F.concat(F.lit(prefix), F.col(text)), 256)
+    # No table at the path yet: none is known. Any other failure to read it is an error.
+    fs = spark._jvm.org.apache.hadoop.fs.Path(cache)
+    known = spark.read.parquet(cache) if fs.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(fs) else spark.createDataFrame([], "key string, vec array<float>")
+    missing = df.select(text, key.alias("key")).where("key IS NOT NULL").dropDuplicates(["key"]).join(known, "key", "left_anti")
+    embed_distinct(missing, text, model, prefix).select("key", "vec").write.mode("append").parquet(cache)
+    return df.withColumn("_key", key).join(spark.read.parquet(cache).withColumnRenamed("key", "_key"), "_key", "left").drop("_key")
+
+
+def save_models(models: dict, folder: str) -> None:
+    """Fitted Spark models by name, each in a folder of its own."""
+    for name, model in models.items():
+        model.write().overwrite().save(f"{folder}/{name}")
+
+
+def load_models(folder: str, names: list[str], kind) -> dict:
+    """Models of a class, by name."""
+    return {name: kind.load(f"{folder}/{name}") for name in names}
+
+
+def batches_of(sizes: list[int], max_items: int, max_tokens: int) -> Iterator[slice]:
+    """Runs of prompts with limits on their number and tokens; a longer one is a run of its own."""
+    start, total = 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and (i - start >= max_items or total + n > max_tokens):
+            yield slice(start, i)
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield slice(start, len(sizes))
+
+
+def generate(df: DataFrame, prompt: str, model: Callable[[], Generator], max_items: int = 8, max_tokens: int = 40_000, tokens: Callable[[str], int] = len) -> DataFrame:
+    """``df`` with ``gen``, by batches of prompts within both limits; ``tokens`` measures a prompt."""
+    schema = StructType([*df.schema.fields, StructField("gen", StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         make = model()
         for pdf in batches:
             prompts = pdf[prompt].tolist()
-            yield pdf.assign(gen=[g for i in range(0, len(prompts), batch) for g in make(prompts[i : i + batch])])
+            out = [g for part in batches_of([tokens(p) for p in prompts], max_items, max_tokens) for g in make(prompts[part])]
+            yield pdf.assign(gen=out)
 
     return df.mapInPandas(run, schema)
 
@@ -60,3 +101,10 @@ def prompt(query: Column, tool_schemas: Column, system: str | None = None) -> Co
     """A plain chat prompt: an optional system turn, the tools as JSON lines, the user's turn."""
     head = f"<|system|>\n{system}<|end|>\n" if system else ""
     return F.concat(F.lit(head + "<|tools|>\n"), F.array_join(tool_schemas, "\n"), F.lit("<|end|>\n<|user|>\n"), query, F.lit("<|end|>\n<|assistant|>\n"))
+
+
+def category_prompt(query: Column, categories: Column, most: int) -> Column:
+    """A prompt that asks for up to ``most`` names of a closed list, on one line with commas between them."""
+    system = "Pick names from the list below and nothing else. Answer with the names alone, as they are written, on one line, commas between them."
+    head = F.lit(f"<|system|>\n{system}<|end|>\n<|user|>\nNames: ")
+    return F.concat(head, F.array_join(categories, ", "), F.lit("\nRequest: "), query, F.lit(f"\nWhich 1 to {most} of the names does the request need?<|end|>\n<|assistant|>\n"))

@@ -142,3 +142,17 @@ def quota_top_k(scores: DataFrame, k: int) -> DataFrame:
 
 def delta(column: str, a: Column, b: Column) -> Column:
     return F.round(a - b, 4).alias(column)
+
+
+def text_lines(rows: DataFrame, order: list[str], widths: dict[str, int]) -> DataFrame:
+    """line, text: a report as aligned lines, numbered from 1; a negative width is left-aligned, fractions have 4 places."""
+    kinds = dict(rows.dtypes)
+
+    def cell(name: str, width: int) -> Column:
+        fraction = F.when(F.col(name).isNotNull(), F.format_string("%.4f", F.round(name, 4))) if kinds[name] == "double" else None
+        value = F.col(name).cast("string") if fraction is None else fraction
+        value = F.coalesce(value, F.lit("-"))
+        return F.rpad(value, -width, " ") if width < 0 else F.lpad(value, width, " ")
+
+    numbered = placed(rows, [], [F.col(c) for c in order])
+    return numbered.select((F.col("place") + 1).cast("int").alias("line"), F.concat(*(cell(n, w) for n, w in widths.items())).alias("text"))

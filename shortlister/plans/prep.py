@@ -9,6 +9,7 @@ from .. import fixtures as fx
 from ..functions import calls as fc
 from ..functions import text as tx
 from ..operators import prep as op
+from ..tables import once
 
 QUERIES, ORACLES = {}, {}
 
@@ -97,7 +98,7 @@ inst AS (SELECT o_orderkey AS query_id, ['I1','I2','I3'][CAST(o_orderkey%3 AS IN
 dr AS (SELECT *, CASE WHEN query IS NULL THEN 'no_query_or_id' WHEN NOT has_rel THEN 'no_relevant_apis' WHEN len(gold)=0 THEN 'gold_unresolved' END AS reason FROM inst)"""
 
 
-def _instances(spark, sf_dir):
+def _made_instances(spark, sf_dir):
     p = fx.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("category"), F.col("p_type").alias("tool"), F.col("p_name").alias("api"))
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
     lines = fx.table(spark, sf_dir, "lineitem").join(p, "l_partkey").withColumn("pos", F.row_number().over(order)).withColumnRenamed("l_orderkey", "query_id")
@@ -112,6 +113,12 @@ def _instances(spark, sf_dir):
     return apis, inst.withColumn("reason", op.drop_reason(F.col("query"), F.col("query_id"), F.col("rel"), F.col("gold")))
 
 
+def _instances(spark, sf_dir):
+    """Apis and instances, each written once."""
+    inputs = [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "orders", "part")]
+    return tuple(once(spark, name, inputs, lambda i=i: _made_instances(spark, sf_dir)[i]) for i, name in enumerate(("apis", "instances")))
+
+
 def _kept(spark, sf_dir):
     return _instances(spark, sf_dir)[1].where("reason IS NULL").select("split", "query_id", "gold")
 
@@ -131,12 +138,16 @@ def drop_reasons(spark, sf_dir):
 _META = "me AS (SELECT id, category, query_id*100+pos AS seq FROM api), up AS (SELECT id, arg_max(category, seq) AS category, min(seq) AS first_pos, max(seq) AS last_pos FROM me GROUP BY id)"
 
 
-def _meta(spark, sf_dir):
+def _made_meta(spark, sf_dir):
     apis, _ = _instances(spark, sf_dir)
     rows = apis.select(tx.make_id(F.col("category"), F.col("tool"), F.col("api")).alias("id"), "category", (F.col("query_id") * 100 + F.col("pos")).alias("seq"))
     return op.upsert(rows, "id", "seq")
 
 
+def _meta(spark, sf_dir):
+    return once(spark, "meta", [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "orders", "part")], lambda: _made_meta(spark, sf_dir))
+
+
 @query(f"{_FX6}, {_META} SELECT id, category, first_pos, last_pos FROM up")
 def meta_upsert(spark, sf_dir):
     """D-2."""

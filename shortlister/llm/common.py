@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import hashlib
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -18,69 +16,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import scratch, shared_dir, sweep, written  # noqa: F401
+
 #: Bytes of text hashed at once by one worker; a single longer text is still taken whole.
 CHUNK_BYTES = 1 << 20
 #: Rows and bytes of an Arrow batch while a table of this package is written.
 BATCH_ROWS, BATCH_BYTES = 512, "8m"
 
-_fallback_dir: str | None = None
 _shipped: str | None = None
-#: Folders written to by this process, and the application they belong to.
-_written: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the session names none, a temporary folder on a ``local`` master, whose executors are this machine; an error
-    on any other one.
-    """
-    global _fallback_dir
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
-    if _fallback_dir is None:
-        _fallback_dir = "file://" + tempfile.mkdtemp(prefix="shortlister-")
-    return _fallback_dir
-
-
-def scratch(spark: SparkSession, kind: str) -> str:
-    """A new folder name in the shared folder; ``sweep`` and the end of the process remove what is written there."""
-    path = f"{shared_dir(spark)}/{kind}/{uuid.uuid4().hex}"
-    _written[path] = spark.sparkContext.applicationId
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
-
-
-def written() -> set[str]:
-    """The folders written so far and not removed."""
-    return set(_written)
-
-
-def sweep(spark: SparkSession, since: set[str], keep: str | None = None) -> None:
-    """Remove the folders written after ``written()`` gave ``since``, but one; nothing may read them any more."""
-    for path in [p for p in _written if p not in since and p != keep]:
-        _remove(spark, path)
-        del _written[path]
-
-
-@atexit.register
-def _sweep_all() -> None:
-    spark = SparkSession.getActiveSession() if _written else None
-    if spark is None:
-        return
-    try:
-        own = spark.sparkContext.applicationId
-        for path in [p for p, app in _written.items() if app == own]:
-            _remove(spark, path)
-    except Exception:  # the application has ended: its folders are the cluster's to clean
-        pass
 
 
 @contextmanager

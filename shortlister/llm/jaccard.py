@@ -13,10 +13,11 @@ first order, the sizes less i and j must both reach the overlap that the thresho
 
 No long posting list is expanded into all of its pairs. A list with few candidate pairs for its length gives these.
 Another gives stars around its most typical documents (highest mean token count; three ways to break ties). After the
-stars are verified and their components known, only lists whose members still lie in different components go on: with
-few crossing pairs for its length, all of these are verified; otherwise further stars follow, around other members, as
-long as they find links, ROUNDS times at most. Then all crossing pairs that are left are met in cells of PAIR_BLOCK
-members each way and verified where size, place and bitmap allow a link. So no component is missed; the last step alone
+stars are verified and their components known, only lists whose members still lie in different components go on. As long
+as these have more crossing pairs than PAIRS_EACH for each member of any list, further stars follow, around other members
+(and all crossing pairs of a list that has few for its own length), if the last ones found links, ROUNDS times at most.
+Then all crossing pairs that are left are met in cells of PAIR_BLOCK members each way and verified where size, place and
+bitmap allow a link. So no component is missed; the last step alone
 can take more than linear work, where long lists join documents that do not link but nearly do.
 
 The sketch only orders tokens and never changes a result. It has 2 ** 16 to 2 ** 24 counts, by the bytes of text; lists
@@ -461,15 +462,18 @@ def shingle_components(documents: DataFrame, k: int = 5, percent: int = 75) -> D
     links = join.links(tried)
     edges = links.union(join.ties)
     label, runs, turn = connected_components(edges), join.runs.drop("score"), 0
+    allowed = PAIRS_EACH * runs.count()
     while True:
         marked = runs.join(label.toDF("rep", "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
         shares = marked.groupBy("run_id", "label").agg(F.count("*").alias("c")).groupBy("run_id").agg(F.sum("c").alias("members"), F.sum(F.col("c") * F.col("c")).alias("same"))
         crossing = (F.col("members") * F.col("members") - F.col("same")) / 2
-        ahead = shares.select("run_id", crossing.alias("crossing"), (crossing <= PAIRS_EACH * F.col("members")).alias("few")).where("crossing > 0").drop("crossing")
+        ahead = shares.select("run_id", crossing.alias("crossing"), (crossing <= PAIRS_EACH * F.col("members")).alias("few")).where("crossing > 0")
         left = stash(marked.join(ahead, "run_id"))
         if left.isEmpty():
             break
-        last = turn >= ROUNDS
+        # As many pairs as this in all are linear work, however they are dealt among the lists.
+        last = turn >= ROUNDS or left.select("run_id", "crossing").distinct().agg(F.sum("crossing")).first()[0] <= allowed
+        left = left.drop("crossing")
         now, rest = join.cells((left if last else left.where("few")).drop("few"), "label <> label2"), left.where("not few").drop("few")
         if not last:
             keys = [F.xxhash64(F.lit(turn), "rep"), F.struct(F.xxhash64(F.lit(turn), "label"), F.xxhash64("rep"))]

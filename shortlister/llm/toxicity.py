@@ -198,19 +198,20 @@ def _families(votes: np.ndarray, sure: np.ndarray, most: int) -> list[np.ndarray
     return sorted(out, key=lambda g: -votes[:, g].any(axis=1).sum())[:most]
 
 
-def label_model(votes: np.ndarray, sure: np.ndarray | None = None, components: int = 8, alone: int = 20, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, sure: np.ndarray | None = None, components: int = 8, alone: int = 1, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Votes (rows by voters, 0/1) to posteriors of class 1, rates of voters in classes 0 and 1, and correlations within class 0.
 
     Class 0 has one component, class 1 one for each family of sure voters that fire together (so that insults of one
     language do not speak against those of another). Given the component, a voter depends on its parent in a tree of the
-    voters that have most to say about each other; the first rounds, ``alone``, take them for independent, so that the
-    components are found before what is left is explained by the tree.
+    voters that have most to say about each other; the first rounds, ``alone``, look at sure voters only and take them
+    for independent, so that the components are found before what is left is explained by the tree.
     """
     n, m = votes.shape
     if not n or not m:
         return np.zeros(n), np.zeros((m, 2)), np.zeros((m, m))
     votes = votes.astype(np.float64)
-    families = _families(votes, np.arange(m) if sure is None else sure, components)
+    sure = np.arange(m) if sure is None else sure
+    families = _families(votes, sure, components)
     p = np.stack([np.full(n, 0.05), *(votes[:, g].sum(axis=1) for g in families)], axis=1)
     p[p[:, 1:].sum(axis=1) == 0, 0] = 1
     p /= p.sum(axis=1, keepdims=True)
@@ -235,8 +236,8 @@ def label_model(votes: np.ndarray, sure: np.ndarray | None = None, components: i
         z = np.zeros((n, len(prior)))
         for c, (rate, joint, share) in enumerate(zip(rates, pairs, prior)):
             z[:, c] = log(share)
-            for j, q in enumerate(parent):
-                chance = np.full(n, rate[j])
+            for j in sure.tolist() if turn < alone else range(m):
+                chance, q = np.full(n, rate[j]), parent[j]
                 if q >= 0:
                     with_parent, without = joint[j, q] / rate[q], (rate[j] - joint[j, q]) / (1 - rate[q])
                     chance = np.clip(np.where(votes[:, q] > 0, with_parent, without), 1e-9, 1 - 1e-9)

@@ -14,7 +14,7 @@ first order, the sizes less i and j must both reach the overlap that the thresho
 No long posting list is expanded into all of its pairs. A list with few candidate pairs for its length gives these.
 Another gives stars around its most typical documents (highest mean token count; three ways to break ties). After the
 stars are verified and their components known, only lists whose members still lie in different components go on. As long
-as these have more crossing pairs than PAIRS_EACH for each member of any list, further stars follow, around other members
+as these have more crossing pairs than CROSSING_EACH for each member of a longer list, all in all, further stars follow, around other members
 (and all crossing pairs of a list that has few for its own length), if the last ones found links, ROUNDS times at most.
 Then all crossing pairs that are left are met in cells of PAIR_BLOCK members each way and verified where size, place and
 bitmap allow a link. So no component is missed; the last step alone
@@ -49,6 +49,8 @@ SKETCH_BITS = (16, 24)
 _PIECES = 64
 #: Lists with up to so many candidate pairs for each of their documents give them at once.
 PAIRS_EACH = 4
+#: With up to so many crossing pairs for each member of a longer list, all in all, these are met in cells at once.
+CROSSING_EACH = 64
 #: Pairs of longer lists are not enumerated to count them.
 COUNTED = 64
 #: Members on each side of a cell of a longer list.
@@ -403,9 +405,10 @@ class _Join:
         The text of the side with more pairs goes to its partners' once for PARTNERS of them.
         """
         percent = self.percent
-        side = lambda x: self.known.toDF(x, *(f"{x}_{c}" for c in ("n", "p2", "p3", *_BITS)))
-        met = edges.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)")
-        met = met.where(_bitmaps_allow(percent, "a_", "b_")).where(F.arrays_overlap("a_p2", "b_p2") & F.arrays_overlap("a_p3", "b_p3"))
+        side = lambda x, *columns: self.known.select(F.col("id").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in columns))
+        met = edges.select("a", "b").join(side("a", "n", *_BITS), "a").join(side("b", "n", *_BITS), "b").where(f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)")
+        met = met.where(_bitmaps_allow(percent, "a_", "b_")).select("a", "b").distinct()
+        met = met.join(side("a", "p2", "p3"), "a").join(side("b", "p2", "p3"), "b").where(F.arrays_overlap("a_p2", "b_p2") & F.arrays_overlap("a_p3", "b_p3"))
         checked = stash(met.select("a", "b").distinct())
         degree = checked.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("d"))
         both = checked.join(degree.toDF("a", "da"), "a").join(degree.toDF("b", "db"), "b")
@@ -462,7 +465,7 @@ def shingle_components(documents: DataFrame, k: int = 5, percent: int = 75) -> D
     links = join.links(tried)
     edges = links.union(join.ties)
     label, runs, turn = connected_components(edges), join.runs.drop("score"), 0
-    allowed = PAIRS_EACH * runs.count()
+    allowed = CROSSING_EACH * runs.count()
     while True:
         marked = runs.join(label.toDF("rep", "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
         shares = marked.groupBy("run_id", "label").agg(F.count("*").alias("c")).groupBy("run_id").agg(F.sum("c").alias("members"), F.sum(F.col("c") * F.col("c")).alias("same"))

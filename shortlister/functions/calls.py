@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 BLOCK = r"(?s)<tool_call>\s*(.*?)\s*</tool_call>"
 FUNCTION = r"(?s)<function=([^>\s]+)\s*>(.*?)</function>"
 PARAMETER = r"(?s)<parameter=([^>\s]+)\s*>(.*?)</parameter>"
+#: What \\s stands for.
+SPACE = " \t\n\x0b\f\r"
 #: Fixed aliases of parameter types; any other is a string.
 TYPES = {"int": "integer", "integer": "integer", "float": "number", "number": "number", "double": "number", "bool": "boolean", "boolean": "boolean", "list": "array", "array": "array", "dict": "object", "object": "object"}
 _INTEGER = r"^\s*[+-]?[0-9]+(_[0-9]+)*\s*$"
@@ -30,7 +32,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def blocks(text: Column) -> Column:
     """The marked blocks; without any, the whole text if it has a function."""
     none = F.array().cast("array<string>")
-    return let(F.regexp_extract_all(text, F.lit(BLOCK), F.lit(1)), lambda marked: F.when(F.size(marked) > 0, marked).when(text.rlike(FUNCTION), F.array(text)).otherwise(none))
+    marked = F.regexp_extract_all(text, F.lit(BLOCK), F.lit(1))
+    whole = F.when(F.contains(text, F.lit("<function=")) & text.rlike(FUNCTION), F.array(text)).otherwise(none)
+    return F.when(F.contains(text, F.lit("<tool_call>")), let(marked, lambda m: F.when(F.size(m) > 0, m).otherwise(whole))).otherwise(whole)
+
+
+def is_call(block: Column) -> Column:
+    """Whether ``xml_call`` or ``json_call`` gives a call, without its arguments."""
+    return block.rlike(FUNCTION) | F.try_variant_get(F.try_parse_json(block), "$.name", "string").isNotNull()
 
 
 def _last_of_each(pairs: Column) -> Column:
@@ -42,13 +51,14 @@ def _last_of_each(pairs: Column) -> Column:
         kept = F.zip_with(rows, following, lambda x, y: F.when(~x["k"].eqNullSafe(y["k"]), F.struct(x["k"].alias("k"), x["v"].alias("v"))))
         return F.map_from_entries(F.filter(kept, lambda x: x.isNotNull()))
 
-    return let(in_order, last)
+    alone = F.size(F.array_distinct(F.transform(pairs, lambda p: p["k"]))) == F.size(pairs)
+    return F.when(alone, F.map_from_entries(F.sort_array(pairs))).otherwise(let(in_order, last))
 
 
 def _opened(element: Column, tag: str, found: Callable[[Column, Column], Column]) -> Column:
     """``found`` of the name in an opening tag and what stands between it and the closing one."""
     head = F.substring_index(element, ">", 1)
-    name = F.regexp_replace(F.substr(head, F.lit(len(tag) + 3)), r"\s+$", "")
+    name = F.rtrim(F.substr(head, F.lit(len(tag) + 3)), F.lit(SPACE))
     body = F.substr(element, F.length(head) + 2, F.length(element) - F.length(head) - len(tag) - 4)
     return found(name, body)
 
@@ -57,7 +67,7 @@ def xml_call(block: Column) -> Column:
     """name and arguments of the first function in a block, or null."""
 
     def pair(element: Column) -> Column:
-        return _opened(element, "parameter", lambda k, v: F.struct(k.alias("k"), F.regexp_replace(v, r"^\s+|\s+$", "").alias("v")))
+        return _opened(element, "parameter", lambda k, v: F.struct(k.alias("k"), F.btrim(v, F.lit(SPACE)).alias("v")))
 
     def call(name: Column, body: Column) -> Column:
         return F.struct(name.alias("name"), _last_of_each(F.transform(F.regexp_extract_all(body, F.lit(PARAMETER), F.lit(0)), pair)).alias("args"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..tables import placed
+from ..functions.vectors import dot_of
+from ..tables import placed, stash
+from .cells import count_before_sets, dimension
 from .fusion import fold_table
 from .ranking import with_rank, worst_gold
 
@@ -116,6 +118,24 @@ def gate_ranks(scores: DataFrame, gold: DataFrame, sets: DataFrame) -> DataFrame
     return worst_gold(with_rank(best, "u", "query_id", "kept"), "query_id", "kept")
 
 
+def gate_ranks_by_vectors(segments: DataFrame, vectors: DataFrame, slots: DataFrame, gold: DataFrame, sets: DataFrame) -> DataFrame:
+    """``gate_ranks`` from vectors, in cells: no table of all scores.
+
+    segments: query_id, seg, of, block (a number; queries of a block are scored together); vectors: of, vec; slots:
+    tool_idx, slot, vec; gold: query_id, tool_idx.
+    """
+    variants = sets.select("query_id", "kept").distinct().withColumn("mask", F.expr("aggregate(kept, 1, (m, s) -> m | shiftleft(1, s))"))
+    segments = segments.join(vectors, "of")
+    own = gold.join(segments, "query_id").join(slots.withColumnRenamed("vec", "tool_vec"), "tool_idx").withColumn("d", dot_of(F.col("vec"), F.col("tool_vec"), dimension(slots)))
+    s = own.groupBy("query_id", "tool_idx", "seg").agg(F.max("d").alias("s")).join(variants, "query_id").where((F.col("seg") == 0) | F.array_contains("kept", F.col("seg")))
+    u = s.groupBy("query_id", "mask", "tool_idx").agg(F.max("s").alias("u")).groupBy("query_id", "mask").agg(F.min(F.struct("u", (-F.col("tool_idx")).alias("back"))).alias("w"))
+    asked = u.groupBy("query_id").agg(F.collect_list(F.struct("mask", F.col("w.u").alias("last"), (-F.col("w.back")).alias("at"))).alias("asked"))
+    rows = stash(segments.join(asked, "query_id").withColumn("asked", F.when(F.col("seg") == 0, F.col("asked"))))
+    blocks = rows.agg(F.coalesce(F.max("block") + 1, F.lit(1))).first()[0]
+    above = count_before_sets(rows, slots, F.col("block"), blocks)
+    return variants.join(above, ["query_id", "mask"], "left").select("query_id", "kept", F.coalesce((F.col("above") + 1).cast("int"), F.lit(-1)).alias("maxgold"))
+
+
 def gate_search(ranks: DataFrame, sets: DataFrame, folds: DataFrame, k: int) -> DataFrame:
     """For each (split, held fold) the gate with the best recall at k on the other folds; ties to the one that drops less, then to order."""
     each = sets.join(ranks, ["query_id", "kept"]).join(folds, "query_id")

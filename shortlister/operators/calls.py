@@ -24,6 +24,12 @@ def parsed(generated: DataFrame) -> DataFrame:
     return out.withColumn("gen_status", status).drop("_b", "_c")
 
 
+def statuses(generated: DataFrame) -> DataFrame:
+    """``generated`` with the ``gen_status`` of ``parsed``, without the calls."""
+    n = generated.withColumn("_b", F.explode(F.array(fc.blocks(F.col("gen"))))).withColumn("_n", F.size("_b")).withColumn("_c", F.size(F.filter("_b", fc.is_call)))
+    return n.withColumn("gen_status", F.when(F.col("_n") == 0, "no_call").when(F.col("_c") < F.col("_n"), "malformed").otherwise("ok")).drop("_b", "_n", "_c")
+
+
 def valid_call(args, parameters: dict = PARAMETERS) -> dict:
     """Columns missing, unknown, bad and valid of a call's arguments."""
     keys = F.map_keys(args)

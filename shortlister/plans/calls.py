@@ -68,7 +68,7 @@ def _rates(spark, sf_dir):
     s = F.col("gen_status")
     model = F.when(F.col("event_id") % 2 == 0, "weak").otherwise("strong")
     ok, marked = F.count_if(s == "ok"), F.count_if(s != "no_call")
-    return _parsed(spark, sf_dir).groupBy(model.alias("model")).agg(F.count("*").alias("n"), F.round(ok / F.count("*"), 4).alias("parse_rate"), F.round(F.when(marked > 0, ok / marked).otherwise(0.0), 4).alias("structural"), F.round(F.count_if(s == "no_call") / F.count("*"), 4).alias("no_call_rate"))
+    return oc.statuses(fx.generated(spark, sf_dir)).groupBy(model.alias("model")).agg(F.count("*").alias("n"), F.round(ok / F.count("*"), 4).alias("parse_rate"), F.round(F.when(marked > 0, ok / marked).otherwise(0.0), 4).alias("structural"), F.round(F.count_if(s == "no_call") / F.count("*"), 4).alias("no_call_rate"))
 
 
 @query(f"{CALLS} {_RATES}")

@@ -54,7 +54,7 @@ def _tools(spark, sf_dir):
 
 def _candidates(spark, sf_dir):
     """Conditions: gold and others up to K, both rankings up to K; the split I3 has no ranking by single vectors."""
-    s = fx.scores(spark, sf_dir).join(fx.tools(spark, sf_dir).select("tool_idx", "id"), "tool_idx")
+    s = fx.heads(spark, sf_dir).join(fx.tools(spark, sf_dir).select("tool_idx", "id"), "tool_idx")
     s = rk.with_rank(rk.with_rank(s, "s_multi", "query_id", name="rm"), "s_single", "query_id", name="rs")
     s = rk.with_rank(s, F.col("is_gold").cast("int") * 10 + F.col("s_multi"), "query_id", name="ro")
     parts = []
@@ -82,7 +82,7 @@ def condition_runs(spark, sf_dir):
     """A run with scripted generators, then again, which finds nothing left to add."""
     target = scratch(spark, "runs")
     q = fx.queries(spark, sf_dir).select("split", "query_id", F.concat(F.lit("request "), "query_id").alias("query"))
-    gold = fx.scores(spark, sf_dir).where("is_gold").join(fx.tools(spark, sf_dir).select("tool_idx", "id"), "tool_idx").groupBy("query_id").agg(F.array_sort(F.collect_list("id")).alias("gold"))
+    gold = fx.heads(spark, sf_dir).where("is_gold").join(fx.tools(spark, sf_dir).select("tool_idx", "id"), "tool_idx").groupBy("query_id").agg(F.array_sort(F.collect_list("id")).alias("gold"))
     given = q.join(gold, "query_id"), _candidates(spark, sf_dir), _tools(spark, sf_dir), {"strong": scripted(True), "weak": scripted(False)}, target, KS
     run_conditions(*given)
     n = spark.read.parquet(target).count()

@@ -15,6 +15,7 @@ from shortlister.operators import cells
 
 REDUCED = (
     "grid_search_add",
+    "grid_search_mult",
 )
 
 

@@ -16,6 +16,7 @@ from shortlister.operators import cells
 REDUCED = (
     "grid_search_add",
     "grid_search_mult",
+    "coeff_distribution",
 )
 
 

@@ -17,6 +17,7 @@ REDUCED = (
     "grid_search_add",
     "grid_search_mult",
     "coeff_distribution",
+    "fusion_add_real",
 )
 
 

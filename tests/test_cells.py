@@ -18,6 +18,7 @@ REDUCED = (
     "grid_search_mult",
     "coeff_distribution",
     "fusion_add_real",
+    "fusion_add_oracle",
 )
 
 

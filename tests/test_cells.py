@@ -19,6 +19,7 @@ REDUCED = (
     "coeff_distribution",
     "fusion_add_real",
     "fusion_add_oracle",
+    "fusion_mult_oracle",
 )
 
 

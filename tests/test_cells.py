@@ -20,6 +20,7 @@ REDUCED = (
     "fusion_add_real",
     "fusion_add_oracle",
     "fusion_mult_oracle",
+    "fusion_mult_real",
 )
 
 

@@ -21,6 +21,7 @@ REDUCED = (
     "fusion_add_oracle",
     "fusion_mult_oracle",
     "fusion_mult_real",
+    "fusion_reuse_gap",
 )
 
 

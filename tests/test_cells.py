@@ -22,6 +22,7 @@ REDUCED = (
     "fusion_mult_oracle",
     "fusion_mult_real",
     "fusion_reuse_gap",
+    "cluster_max_prior",
 )
 
 

@@ -23,6 +23,7 @@ REDUCED = (
     "fusion_mult_real",
     "fusion_reuse_gap",
     "cluster_max_prior",
+    "cluster_oracle_prior",
 )
 
 

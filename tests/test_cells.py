@@ -24,6 +24,7 @@ REDUCED = (
     "fusion_reuse_gap",
     "cluster_max_prior",
     "cluster_oracle_prior",
+    "gate_search",
 )
 
 

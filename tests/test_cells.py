@@ -25,6 +25,7 @@ REDUCED = (
     "cluster_max_prior",
     "cluster_oracle_prior",
     "gate_search",
+    "gate_search_heldout",
 )
 
 

@@ -26,6 +26,7 @@ REDUCED = (
     "cluster_oracle_prior",
     "gate_search",
     "gate_search_heldout",
+    "exclusion_rule",
 )
 
 

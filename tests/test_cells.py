@@ -27,6 +27,7 @@ REDUCED = (
     "gate_search",
     "gate_search_heldout",
     "exclusion_rule",
+    "gate_m5",
 )
 
 

@@ -28,6 +28,7 @@ REDUCED = (
     "gate_search_heldout",
     "exclusion_rule",
     "gate_m5",
+    "arg_accuracy",
 )
 
 

@@ -29,6 +29,7 @@ REDUCED = (
     "exclusion_rule",
     "gate_m5",
     "arg_accuracy",
+    "call_to_tool",
 )
 
 

@@ -30,6 +30,7 @@ REDUCED = (
     "gate_m5",
     "arg_accuracy",
     "call_to_tool",
+    "call_validity",
 )
 
 

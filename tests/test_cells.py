@@ -31,6 +31,7 @@ REDUCED = (
     "arg_accuracy",
     "call_to_tool",
     "call_validity",
+    "completeness",
 )
 
 

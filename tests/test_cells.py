@@ -32,6 +32,7 @@ REDUCED = (
     "call_to_tool",
     "call_validity",
     "completeness",
+    "conclusions_a",
 )
 
 

@@ -33,6 +33,7 @@ REDUCED = (
     "call_validity",
     "completeness",
     "conclusions_a",
+    "fig1_series",
 )
 
 

@@ -34,6 +34,7 @@ REDUCED = (
     "completeness",
     "conclusions_a",
     "fig1_series",
+    "gate_m6",
 )
 
 

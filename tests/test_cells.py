@@ -35,6 +35,7 @@ REDUCED = (
     "conclusions_a",
     "fig1_series",
     "gate_m6",
+    "condition_runs",
 )
 
 

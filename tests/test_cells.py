@@ -36,6 +36,7 @@ REDUCED = (
     "fig1_series",
     "gate_m6",
     "condition_runs",
+    "confusion_topn",
 )
 
 

@@ -37,6 +37,7 @@ REDUCED = (
     "gate_m6",
     "condition_runs",
     "confusion_topn",
+    "contrastive_ab",
 )
 
 

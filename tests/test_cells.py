@@ -88,3 +88,15 @@ def test_equal_scores_are_all_kept():
     assert cells.leading(key, 2).tolist() == [[True, False, True, True, True, False]]
     assert cells.leading(key, 2, 1.0).tolist() == [[True, True, True, True, True, False]]
     assert cells.leading(key, 2, np.inf).all()
+
+
+def test_nearest_tools_leave_their_cells_few(spark):
+    """Pairs are reduced within a cell: no operator of Spark meets them all."""
+    from shortlister.operators.priors import nearest
+
+    rows = [(i, i // 2, [float(i % 5), float(i % 3)]) for i in range(30)]
+    near = nearest(spark.createDataFrame(rows, "tool_idx int, service int, vec array<double>"), 2)
+    assert "MapInArrow" in near._jdf.queryExecution().toString()
+    score = lambda a, b: sum(x * y for x, y in zip(a[2], b[2]))
+    want = {(a[0], b[0], n + 1) for a in rows for n, b in enumerate(sorted((b for b in rows if b[1] != a[1]), key=lambda b: (-score(a, b), b[0]))[:2])}
+    assert {(r.tool_idx, r.other, r.rk) for r in near.collect()} == want

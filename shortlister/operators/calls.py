@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import calls as fc
@@ -68,16 +68,30 @@ def score(records: DataFrame) -> DataFrame:
     return r.withColumn("gen_excerpt", excerpt).drop("_v", "called")
 
 
-def argument_accuracy(called: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+def argument_accuracy(rows: DataFrame, required: list[str], repeated: DataFrame, *keys: str) -> DataFrame:
     """Mean share of the required arguments that the first call of each wanted function has right.
 
-    called: keys, pos, name, args; wanted: keys, name, args, required. Functions without required arguments with a value
-    are left out; none left gives 0.
+    rows: keys, calls and wanted (arrays of (name, args)); rows of the same keys count as one, their calls by their places.
+    ``repeated`` has the keys of more than one row: no other rows have to meet. Functions without required arguments with a value are left out; none left gives 0. Keys that want nothing have no row.
     """
-    first = called.groupBy(*keys, "name").agg(F.min_by("args", "pos").alias("given"))
-    j = wanted.join(first, [*keys, "name"], "left")
-    need = F.filter("required", lambda k: F.map_contains_key("args", k))
-    j = j.withColumn("need", need)
-    same = lambda k: F.coalesce(fc.normalise(F.try_element_at("given", k)) == fc.normalise(F.element_at("args", k)), F.lit(False))
-    got = F.when(F.size("need") > 0, F.coalesce(F.size(F.filter("need", same)), F.lit(0)) / F.size("need"))
-    return j.withColumn("got", F.when(F.col("given").isNull() & (F.size("need") > 0), 0.0).otherwise(got)).groupBy(*keys).agg(F.coalesce(F.avg("got"), F.lit(0.0)).alias("arg_acc"))
+    value = lambda args, k: fc.normalise(F.try_element_at(args, F.lit(k)))
+    called = F.transform("calls", lambda c, i: F.struct(i.alias("pos"), c["name"].alias("name"), F.array(*(value(c["args"], k) for k in required)).alias("given")))
+    wanted = F.transform("wanted", lambda w: F.struct(w["name"].alias("name"), F.array(*(F.struct(F.map_contains_key(w["args"], k).alias("need"), value(w["args"], k).alias("value")) for k in required)).alias("want")))
+    # One row each, so that what the columns below name is computed once.
+    each = rows.select(*keys, F.explode(F.array(called)).alias("called"), "wanted").select(*keys, "called", F.explode(F.array(wanted)).alias("wanted"))
+    if not repeated.isEmpty():
+        met = each.join(repeated, list(keys), "left_semi").groupBy(*keys).agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("called", "wanted")))
+        each = each.join(repeated, list(keys), "left_anti").unionByName(met)
+    each = each.where(F.size("wanted") > 0)
+
+    def share(w: Column) -> Column:
+        def of(first: Column) -> Column:
+            pairs = F.zip_with(w["want"], F.coalesce(first["given"], F.array().cast("array<string>")), lambda x, g: (x["need"] & (x["value"] == g)))
+            need = F.size(F.filter(w["want"], lambda x: x["need"]))
+            return F.when(need > 0, F.size(F.filter(pairs, lambda x: x)) / need)
+
+        return fc.let(F.array_min(F.filter("called", lambda c: c["name"] == w["name"])), of)
+
+    got = F.filter(F.transform("wanted", share), lambda x: x.isNotNull())
+    mean = fc.let(got, lambda x: F.when(F.size(x) > 0, F.aggregate(x, F.lit(0.0), lambda s, y: s + y) / F.size(x)).otherwise(0.0))
+    return each.select(*keys, mean.alias("arg_acc"))

@@ -44,23 +44,30 @@ def is_call(block: Column) -> Column:
 
 def _last_of_each(pairs: Column) -> Column:
     """A map in which a later entry replaces an earlier one of the same key."""
-    in_order = F.array_sort(F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), i.alias("i"), p["v"].alias("v"))))
+    def in_order(pairs: Column) -> Column:
+        return F.array_sort(F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), i.alias("i"), p["v"].alias("v"))))
 
     def last(rows: Column) -> Column:
         following = F.slice(rows, F.lit(2), F.size(rows))
         kept = F.zip_with(rows, following, lambda x, y: F.when(~x["k"].eqNullSafe(y["k"]), F.struct(x["k"].alias("k"), x["v"].alias("v"))))
         return F.map_from_entries(F.filter(kept, lambda x: x.isNotNull()))
 
-    alone = F.size(F.array_distinct(F.transform(pairs, lambda p: p["k"]))) == F.size(pairs)
-    return F.when(alone, F.map_from_entries(F.sort_array(pairs))).otherwise(let(in_order, last))
+    def of(pairs: Column) -> Column:
+        alone = F.size(F.array_distinct(F.transform(pairs, lambda p: p["k"]))) == F.size(pairs)
+        return F.when(alone, F.map_from_entries(F.sort_array(pairs))).otherwise(let(in_order(pairs), last))
+
+    return let(pairs, of)
 
 
 def _opened(element: Column, tag: str, found: Callable[[Column, Column], Column]) -> Column:
     """``found`` of the name in an opening tag and what stands between it and the closing one."""
-    head = F.substring_index(element, ">", 1)
-    name = F.rtrim(F.substr(head, F.lit(len(tag) + 3)), F.lit(SPACE))
-    body = F.substr(element, F.length(head) + 2, F.length(element) - F.length(head) - len(tag) - 4)
-    return found(name, body)
+
+    def opened(head: Column) -> Column:
+        name = F.rtrim(F.substr(head, F.lit(len(tag) + 3)), F.lit(SPACE))
+        body = F.substr(element, F.length(head) + 2, F.length(element) - F.length(head) - len(tag) - 4)
+        return found(name, body)
+
+    return let(F.substring_index(element, ">", 1), opened)
 
 
 def xml_call(block: Column) -> Column:

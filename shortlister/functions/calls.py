@@ -39,7 +39,10 @@ def blocks(text: Column) -> Column:
 
 def is_call(block: Column) -> Column:
     """Whether ``xml_call`` or ``json_call`` gives a call, without its arguments."""
-    return block.rlike(FUNCTION) | F.try_variant_get(F.try_parse_json(block), "$.name", "string").isNotNull()
+    # Texts without what either needs are told apart by a search, before a pattern or a failing parser meets them.
+    function = F.contains(block, F.lit("<function=")) & F.contains(block, F.lit("</function>"))
+    named = F.contains(block, F.lit("}")) & (F.contains(block, F.lit('"name"')) | F.contains(block, F.lit("\\")))
+    return (function & block.rlike(FUNCTION)) | (named & F.try_variant_get(F.try_parse_json(block), "$.name", "string").isNotNull())
 
 
 def _last_of_each(pairs: Column) -> Column:

@@ -3,10 +3,12 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from test_entry import SF
 
-from shortlister import catalogue
+from shortlister import catalogue, tables
 from shortlister import fixtures as fx
+from shortlister.functions import calls as fc
 from shortlister.operators import cells
 from shortlister.operators import fusion as fu
 from shortlister.plans import ranking
@@ -49,3 +51,23 @@ def test_gold_of_a_query_without_scores_stands_by_place():
     x = fu.Packed(pa.RecordBatch.from_pydict({"split": pa.array(["I1"] * 2), "query_id": pa.array(["a", "b"]), "q_ord": pa.array([0, 1]), "fold": pa.array([0, 0], pa.int32()), "tools": pa.array([tools, none], kind)}))
     for method in ("add", "mult"):
         assert x.hits(x.fused(method, x.prior("p_own", None), [(0.0, 1.0, 0.5, 0.3, 0.1)] * 2), 10).tolist() == [True, False]
+
+
+@pytest.mark.parametrize("name", ["gate_m5", "exclusion_rule"])
+def test_candidates_of_calls_make_no_row_for_each_tool(spark, monkeypatch, name):
+    def refuse(*_):
+        raise AssertionError("a row for each tool")
+
+    monkeypatch.setattr(fx, "heads", refuse)
+    monkeypatch.setattr(fx, "tools", refuse)
+    tables._kept.clear()
+    assert catalogue.queries()[name](spark, SF).count()
+
+
+def test_a_block_is_a_call_if_a_parser_gives_one(spark):
+    texts = ["", "{", "}", '{"name": broken', '{"name": broken}', '{"name": "f"}', '{"name": "f"} and more', ' {"n\\u0061me": "f"}', '{"name": null}', '{"name": 3}', '{"names": "f"}', "[1]", "<function=f></function>", "<function=f>", "</function><function=f>", "<function=>x</function>", "<function=f >a<function=g>b</function>", '{"name": "<function=f></function>"', None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    assert "Contains" in rows.select(fc.is_call(t))._jdf.queryExecution().analyzed().toString().title()
+    for r in rows.select("t", F.coalesce(fc.is_call(t), F.lit(False)).alias("is"), F.coalesce(fc.xml_call(t), fc.json_call(t)).isNotNull().alias("gives")).collect():
+        assert r["is"] == r["gives"], r
